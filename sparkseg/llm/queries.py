@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkseg.llm import bpe, decontam, exact_dedup, near_dedup, token_files, url_filter
+from sparkseg.llm import bpe, decontam, exact_dedup, langid, near_dedup, quality, token_files, url_filter
 from sparkseg.llm.base import Scratch, read
 
 
@@ -17,6 +17,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -31,12 +35,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op5_decontamination, op6_token_files, op8_near_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op5_decontamination, op6_token_files, op8_near_dedup, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
