@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkseg.llm import bpe, decontam, exact_dedup, langid, near_dedup, quality, token_files, url_filter
+from sparkseg.llm import bpe, decontam, exact_dedup, langid, lm, near_dedup, quality, substring_dedup, token_files, url_filter
 from sparkseg.llm.base import Scratch, read
 
 
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op5_decontamination, op6_token_files, op8_near_dedup, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op4_lm_score, op5_decontamination, op6_token_files, op7_substring_dedup, op8_near_dedup, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
