@@ -122,6 +122,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return last.distinct().withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose document contains no test item, with all their columns."""
+    found = contaminated(docs, benchmark, key, **options).select(F.col("doc_id").alias("id_")).distinct()
+    return docs.join(found, docs[key].eqNullSafe(found["id_"]), "left_anti")
+
+
 ORACLE_SQL = r"""
 WITH src AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 w AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM src),

@@ -172,6 +172,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", modul
     )
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    groups = exact_groups(docs, key, text)
+    verdict = groups.groupBy(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_")).agg(F.max("kept").alias("kept_"), F.count("*").alias("copies_"))
+    out = Scratch(docs.sparkSession, "exact-verdict").table(verdict.where("not kept_ or copies_ > 1"), "verdict")
+    same = docs[key].eqNullSafe(out["id_"]) & (F.sha2(normalised(docs[text]).cast("binary"), 256) == out["sha_"])
+    stay = docs.join(out, same, "left_anti")
+    repeated = docs.join(out.where("kept_"), same, "left_semi")  # rows of one id and text: one stays
+    return stay.unionByName(repeated.dropDuplicates([key]))
+
+
 ORACLE_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -190,6 +190,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with all their columns.
+
+    An id that several texts share stays if one of them does.
+    """
+    groups = near_groups(docs, key, text, **options)
+    gone = groups.groupBy(F.col("doc_id").alias("id_")).agg(F.max("kept").alias("kept_")).where("not kept_").select("id_")
+    return docs.join(gone, docs[key].eqNullSafe(gone["id_"]), "left_anti")
+
+
 _SHINGLES = r"""
 w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 d AS (SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w)

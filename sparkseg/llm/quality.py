@@ -170,3 +170,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     scored = score(rows, train_on_folds(docs, labels))
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, with all their columns."""
+    return score(docs, train_on_folds(docs, labels)).where(F.col("quality_score") >= threshold).drop("quality_score")
