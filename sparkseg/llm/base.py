@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +134,62 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS
     return np.unique(window_hashes(hashes(words_of(text)), width))
 
 
+#: The filter of ids: a fixed size, 2 MB. Where it fills up it lets more rows pass, never fewer.
+FILTER_BITS = 24
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _id_slots(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(zero_copy_only=False)))], ["slot"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that holds all of a column of longs: others may pass, none of these fails."""
+    words = ids.mapInArrow(_id_slots, "slot long").groupBy(F.expr("slot div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 63 as int)))").alias("bits"))
+    table = np.zeros((1 << FILTER_BITS) // 63 + 1, np.uint64)
+    found = words.toArrow()
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def passes(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = _slots(ids)
+    return (table[slot // 63] >> (slot % 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def _passing(shared, wanted: bool):
+    def run(batches):
+        for batch in batches:
+            keep = passes(shared.value, batch.column("id_hash_").to_numpy(zero_copy_only=False)) == wanted
+            yield batch.drop_columns(["id_hash_"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def id_hash(key):
+    """A hash of an id of any type; null has one too."""
+    return F.xxhash64(F.coalesce(key.cast("string"), F.lit("~")))
+
+
+def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, ids_key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is surely none of ``ids``, and those whose id may be; without a shuffle of rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(ids.select(id_hash(ids[ids_key]).alias("h"))))
+    hashed = rows.withColumn("id_hash_", id_hash(rows[key]))
+    surely_not, maybe = (hashed.mapInArrow(_passing(shared, w), rows.schema) for w in (False, True))
+    return surely_not, maybe
+
+
+def without_ids(rows: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFrame:
+    """Rows whose id isn't among ``ids``; only rows that the filter lets pass are shuffled."""
+    surely_not, maybe = split_by_ids(rows, key, ids, ids_key)
+    gone = ids.select(F.col(ids_key).alias("gone_id_"))
+    return surely_not.unionByName(maybe.join(gone.hint("merge"), maybe[key].eqNullSafe(gone["gone_id_"]), "left_anti"))
+
+
 def words_sql(text: str) -> str:
     """Spark SQL for the words of a column: an array, empty for null."""
     return f"filter(split(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{WHITE}]+'), w -> w <> '')"

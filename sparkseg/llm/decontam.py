@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, WordHashes, mix, shingle_set
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, WordHashes, mix, shingle_set, without_ids
 
 HASHES = 16
 #: Shingles in a block of items (8 bytes each); a block is what a task holds at once.
@@ -125,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document contains no test item, with all their columns."""
     found = contaminated(docs, benchmark, key, **options).select(F.col("doc_id").alias("id_")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["id_"]), "left_anti")
+    return without_ids(docs, key, Scratch(docs.sparkSession, "contaminated").table(found, "found"), "id_")
 
 
 ORACLE_SQL = r"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import Scratch
+from sparkseg.llm.base import Scratch, split_by_ids
 
 #: Two primes below 2**31 and a base for each.
 MODULI = (2147483647, 2147483629)
@@ -177,10 +177,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     groups = exact_groups(docs, key, text)
     verdict = groups.groupBy(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_")).agg(F.max("kept").alias("kept_"), F.count("*").alias("copies_"))
     out = Scratch(docs.sparkSession, "exact-verdict").table(verdict.where("not kept_ or copies_ > 1"), "verdict")
-    same = docs[key].eqNullSafe(out["id_"]) & (F.sha2(normalised(docs[text]).cast("binary"), 256) == out["sha_"])
-    stay = docs.join(out, same, "left_anti")
-    repeated = docs.join(out.where("kept_"), same, "left_semi")  # rows of one id and text: one stays
-    return stay.unionByName(repeated.dropDuplicates([key]))
+    surely, maybe = split_by_ids(docs, key, out, "id_")
+    same = maybe[key].eqNullSafe(out["id_"]) & (F.sha2(normalised(maybe[text]).cast("binary"), 256) == out["sha_"])
+    stay = maybe.join(out.hint("merge"), same, "left_anti")
+    repeated = maybe.join(out.where("kept_").hint("merge"), same, "left_semi")  # rows of one id and text: one stays
+    return surely.unionByName(stay).unionByName(repeated.dropDuplicates([key]))
 
 
 ORACLE_SQL = r"""

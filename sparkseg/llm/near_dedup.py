@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, WordHashes, mix, shingle_set
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, WordHashes, mix, shingle_set, without_ids
 from sparkseg.llm.components import components
 
 SKETCHES = 16
@@ -197,7 +197,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     """
     groups = near_groups(docs, key, text, **options)
     gone = groups.groupBy(F.col("doc_id").alias("id_")).agg(F.max("kept").alias("kept_")).where("not kept_").select("id_")
-    return docs.join(gone, docs[key].eqNullSafe(gone["id_"]), "left_anti")
+    gone = Scratch(docs.sparkSession, "near-gone").table(gone, "gone")
+    return without_ids(docs, key, gone, "id_")
 
 
 _SHINGLES = r"""
