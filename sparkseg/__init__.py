@@ -1,0 +1 @@
+"""Hierarchical region segmentation of rasters as Spark queries."""
