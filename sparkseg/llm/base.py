@@ -73,26 +73,23 @@ class Scratch:
                 raise
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, A-Z lower-cased; other letters stay as they are."""
-    if not text:
-        return []
-    lowered = text.translate(_LOWER) if not text.isascii() else text.lower()
-    return [w for w in lowered.translate(_SPACES).split(" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lower-cased; other letters stay as they are."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: ASCII alone
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_SPACES = {c: " " for c in range(0x09, 0x0E)}
-
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 class WordHashes:
@@ -101,19 +98,27 @@ class WordHashes:
     LIMIT = 400_000
 
     def __init__(self):
-        self._known: dict[str, int] = {}
+        self._known: dict[bytes, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self._known
         try:
-            return np.array([known[w] for w in words], dtype=np.uint64)
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
         except KeyError:
             if len(known) > self.LIMIT:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            return np.array([known[w] for w in words], dtype=np.uint64)
+                    known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
+
+
+_word_hashes = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """One for each process, so that later tasks know the words of earlier ones."""
+    return _word_hashes
 
 
 def window_hashes(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -123,10 +128,11 @@ def window_hashes(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
         return hashes
     width = min(n, width)
     with np.errstate(over="ignore"):
-        out = np.full(n - width + 1, np.uint64(width), dtype=np.uint64)
-        for i in range(width):
-            out = mix(out * _MULTIPLIER + hashes[i : n - width + 1 + i])
-    return out
+        out = hashes[: n - width + 1] + np.uint64(width)
+        for i in range(1, width):
+            out *= _MULTIPLIER
+            out += hashes[i : n - width + 1 + i]
+        return mix(out)
 
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, WordHashes, mix, shingle_set, without_ids
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, mix, shingle_set, without_ids, word_hashes
 
 HASHES = 16
 #: Shingles in a block of items (8 bytes each); a block is what a task holds at once.
@@ -69,7 +69,7 @@ class Block:
 
 def _item_sets(width: int):
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             sets = [shingle_set(t, hashes, width).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(sets, pa.binary())], ["item_id", "shingles"])
@@ -79,7 +79,7 @@ def _item_sets(width: int):
 
 def _search(block, width: int, percent: int):
     def run(batches):
-        hashes, items = WordHashes(), block.value
+        hashes, items = word_hashes(), block.value
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 found = [(r, k, n) for r, t in enumerate(part.column("text").to_pylist()) if t for k, n in items.search(shingle_set(t, hashes, width), percent)]
