@@ -146,7 +146,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", modul
     members = scratch.table(_with_first(prints.join(many, ["fp", "n_bytes"])).select("doc_id", "doc_id_", "sha256", "fp", "n_bytes", "grp", "is_first"), "members")
     wanted = members.select(F.col("doc_id_").alias("wanted"), "sha256", "n_bytes", "fp", "grp", "is_first")
     texts = docs.select(F.coalesce(F.col(key).cast("string"), F.lit(none)).alias("doc_id_"), F.col(text).alias("text"))
-    texts = texts.join(wanted, F.col("doc_id_") == F.col("wanted")).withColumn("norm", normalised(F.col("text")).cast("binary"))
+    texts = split_by_ids(texts, "doc_id_", wanted, "wanted")[1]
+    texts = texts.join(wanted.hint("merge"), F.col("doc_id_") == F.col("wanted")).withColumn("norm", normalised(F.col("text")).cast("binary"))
     texts = texts.where((F.length("norm") == F.col("n_bytes")) & (F.sha2("norm", 256) == F.col("sha256")))
     chunks = scratch.table(texts.select("doc_id_", "sha256", "fp", "n_bytes", "grp", "is_first", F.posexplode(_chunks("norm")).alias("idx", "chunk")), "chunks")
     odd = _differing(scratch, chunks)
