@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkseg.functions.lineage import cut
 from sparkseg.functions.neighbours import down, eight, with_eight
 
 
@@ -190,7 +191,7 @@ def _repair(key, table: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
 
 def repaired(labelled: DataFrame, weights: DataFrame) -> DataFrame:
     """``labelled`` (with ``l, a, b``) with repaired labels; columns stay."""
-    parts = with_components(labelled).persist()
+    parts = cut(with_components(labelled))
     table = component_table(parts).join(weights, "image_id")
     graph = component_graph(parts).select(F.col("image_id").alias("image"), F.col("comp").alias("comp"), F.col("nbr").alias("nbr"))  # names of its own
     fixed = table.groupBy("image_id").cogroup(graph.groupBy("image")).applyInPandas(_repair, "image_id long, comp int, fixed int")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseg.errors import NoSeeds, SizeMismatch
+from sparkseg.functions.lineage import cut
 from sparkseg.functions.neighbours import extent
 from sparkseg.operators import assign, channels, connectivity, merging, metrics, regions, seeds
 from sparkseg.options import Options, targets_of
@@ -42,24 +43,24 @@ def image_sizes(pixels: DataFrame) -> list[tuple[int, int]]:
 def elected(pixels: DataFrame, options: Options = Options(), edge_mode: str = "sobel", edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pixels with channels, edge, density and ``is_seed``; channel weights; thresholds."""
     sizes = image_sizes(pixels)
-    values = channels.scaled(channels.lab_channels(edge_maps(pixels, edge_mode, edges)))
-    weights = channels.channel_weights(values, options.max_l)
-    thresholds = channels.percentile_threshold(values, options.edge_percentile)
-    dense = seeds.break_ties(seeds.density(values.join(extent(pixels), "image_id"), weights), options.random_seed)
+    values = cut(channels.scaled(channels.lab_channels(edge_maps(pixels, edge_mode, edges))).join(extent(pixels), "image_id"))
+    weights = cut(channels.channel_weights(values, options.max_l))
+    thresholds = cut(channels.percentile_threshold(values, options.edge_percentile))
+    dense = seeds.break_ties(seeds.density(values, weights), options.random_seed)
     return seeds.elect(dense, thresholds, sizes), weights, thresholds
 
 
 def prepare(pixels: DataFrame, options: Options = Options(), edge_mode: str = "sobel", edges: DataFrame | None = None) -> Prepared:
     """Foundation regions: connected, numbered 1..K per image."""
     chosen, weights, thresholds = elected(pixels, options, edge_mode, edges)
-    chosen = chosen.persist()
-    table = seeds.numbered(chosen)
+    chosen = cut(chosen)
+    table = cut(seeds.numbered(chosen))
     bare = chosen.groupBy("image_id").agg(F.max("is_seed").alias("any")).where("not any").head(1)
     if bare:
         raise NoSeeds(f"image {bare[0].image_id} has no seeds")
     first = assign.nearest_seed(chosen, table, weights, options.spatial_weight, options.search_radius_multiplier)
     joined = chosen.join(first, ["image_id", "r", "c"])
-    labels = regions.compact(connectivity.repaired(joined.persist(), weights)).persist()
+    labels = cut(regions.compact(connectivity.repaired(cut(joined), weights)))
     return Prepared(labels, weights, thresholds, table, options)
 
 

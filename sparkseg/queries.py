@@ -125,7 +125,6 @@ def seed_table(spark, sf_dir):
 @query
 def assign_pixels(spark, sf_dir):
     chosen, weights, _ = plan.elected(pixels(spark, sf_dir))
-    chosen = chosen.persist()
     return assign.nearest_seed(chosen, seeds.numbered(chosen), weights)
 
 
