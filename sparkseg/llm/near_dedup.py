@@ -9,8 +9,9 @@ only formed for sketches that do.
 Texts with the same shingle set are one class from the start. In each bucket, members are compared
 with a centre, links confirmed on the full sets, and components formed; what is then still in
 different components of one bucket is compared in full, except within the bucket's largest
-component. A pair of similarity 0.75 misses every table with a probability of 4e-6; two-bit
-min-hashes sort out pairs before the exact check with an error below 1e-8.
+component, each pair in the first table that it shares. A pair of similarity 0.75 misses every table
+with a probability of 4e-6; two bits of 256 min-hashes sort out pairs before the exact check, of
+which such a pair fails with a probability of 1e-6.
 
 Defined results: null and empty texts and those without words have no shingles, no links and are
 kept; null ids count as larger than any other (a component of null ids alone has a null id);
@@ -26,35 +27,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, WordHashes, mix, shingle_set, without_ids
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, mix, shingle_set, split_by_ids, without_ids, word_hashes
 from sparkseg.llm.components import components
 
 SKETCHES = 16
 PAIR = 2
-BITS = 128  # min-hashes in the two-bit sketch
-#: Of 128 two-bit values a pair of similarity 0.75 differs in 24 on average, with a deviation of 4.4.
-MOST_DIFFERENT = 52
+VALUES = 256  # min-hashes; the first 64 make the sketches, two bits of each are compared before the exact check
+#: A pair of similarity 0.75 differs in 48 of them on average, with a deviation of 6.2.
+MOST_DIFFERENT = 78
 CENTRE_ROUNDS = 2
 
-_ODD = mix(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
-_ADD = mix(np.arange(1001, BITS + 1001, dtype=np.uint64))
+_SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64))
+_ODD = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_ADD = _SEEDS.astype(np.uint32)
+#: Columns of packed integers: both collections, two sketches in each, and the two-bit values.
+FIRST = [f"p{i}" for i in range(SKETCHES // 2)]
+SECOND = [f"q{i}" for i in range(SKETCHES // 2)]
+BITS = [f"b{i}" for i in range(VALUES // 32)]
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    best = np.full(BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 512):
-            np.minimum(best, (shingles[i : i + 512, None] * _ODD + _ADD).min(axis=0), out=best)
-    return mix(best)
+    best, high = np.full(VALUES, 0xFFFFFFFF, dtype=np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), 1024):
+        hashed = high[i : i + 1024, None] * _ODD
+        hashed += _ADD
+        np.minimum(best, hashed.min(axis=0), out=best)
+    return best
 
 
-def sketches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both collections of sketches, and the two-bit values packed in four integers."""
-    with np.errstate(over="ignore"):
-        pairs = hashes[: 2 * SKETCHES * PAIR].reshape(2 * SKETCHES, PAIR)
-        keys = mix(pairs[:, 0] * np.uint64(3) + mix(pairs[:, 1]) + np.arange(2 * SKETCHES, dtype=np.uint64))
-    two = (hashes & np.uint64(3)).reshape(4, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
-    return keys[:SKETCHES].view(np.int64), keys[SKETCHES:].view(np.int64), np.bitwise_or.reduce(two, axis=1).view(np.int64)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """``FIRST``, ``SECOND`` and ``BITS`` of a set."""
+    hashes = min_hashes(shingles)
+    pairs = hashes[: 2 * SKETCHES * PAIR].astype(np.uint64).reshape(2 * SKETCHES, PAIR)
+    keys = mix(pairs[:, 0] << np.uint64(32) | pairs[:, 1]) >> np.uint64(32)
+    two = ((hashes * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.concatenate([keys[::2] | keys[1::2] << np.uint64(32), np.bitwise_or.reduce(two, axis=1)]).view(np.int64)
 
 
 def class_key(shingles: np.ndarray) -> bytes:
@@ -62,23 +69,20 @@ def class_key(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(width: int):
+    names = [*FIRST, *SECOND, *BITS]
+
     def run(batches):
-        hashes = WordHashes()
+        hashes, none = word_hashes(), np.zeros(len(names), np.int64)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                cids, sizes, us, vs, bits = [], [], [], [], []
-                none = np.zeros(0, np.int64)
+                cids, sizes, found = [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text, hashes, width)
-                    u, v, b = sketches(min_hashes(s)) if len(s) else (none, none, np.zeros(4, np.int64))
                     cids.append(class_key(s) if len(s) else None)
                     sizes.append(len(s))
-                    us.append(u)
-                    vs.append(v)
-                    bits.append(b)
-                four = np.array(bits, dtype=np.int64).reshape(-1, 4)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int32()), pa.array(np.concatenate([*xs, none]), pa.int64())) for xs in (us, vs)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), *lists, *(pa.array(four[:, i]) for i in range(4))], ["doc_id", "cid", "n", "u", "v", "s0", "s1", "s2", "s3"])
+                    found.append(signature(s) if len(s) else none)
+                table = np.array(found, dtype=np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(names)))], ["doc_id", "cid", "n", *names])
 
     return run
 
@@ -87,15 +91,16 @@ def _sets(width: int):
     """The shingle set of the texts whose class is the one asked for."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                out = []
-                for text, cid in zip(part.column("text").to_pylist(), part.column("cid").to_pylist()):
+                numbers, sets = [], []
+                for number, cid, text in zip(*(part.column(c).to_pylist() for c in ("k", "cid", "text"))):
                     s = shingle_set(text, hashes, width)
                     if len(s) and class_key(s) == cid:
-                        out.append((cid, s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["cid", "shingles"])
+                        numbers.append(number)
+                        sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], ["k", "shingles"])
 
     return run
 
@@ -119,10 +124,22 @@ def _confirm(percent: int):
 
 def _different(one: str, other: str) -> Column:
     """How many of the two-bit values differ."""
-    parts = [f"bit_count((({one}.s{i} ^ {other}.s{i}) | shiftrightunsigned({one}.s{i} ^ {other}.s{i}, 1)) & 6148914691236517205L)" for i in range(4)]
+    parts = [f"bit_count((({one}.{b} ^ {other}.{b}) | shiftrightunsigned({one}.{b} ^ {other}.{b}, 1)) & 6148914691236517205L)" for b in BITS]
     return F.expr(" + ".join(parts))
 
 
+def _lanes(packed: list[str], table: str = "") -> list[str]:
+    """The single sketches of packed columns."""
+    dot = f"{table}." if table else ""
+    return [x for p in packed for x in (f"({dot}{p} & 4294967295L)", f"shiftrightunsigned({dot}{p}, 32)")]
+
+
+def _first_table(one: str, other: str) -> Column:
+    """The first table that two classes share; a pair is taken up in that one alone."""
+    first = lambda packed: "case " + " ".join(f"when {x} = {y} then {i}" for i, (x, y) in enumerate(zip(_lanes(packed, one), _lanes(packed, other)))) + " end"
+    return F.expr(f"({first(FIRST)}) * {SKETCHES} + ({first(SECOND)})")
+
+
 def _size_fits(one: str, other: str, percent: int) -> Column:
     return F.expr(f"100 * least({one}.n, {other}.n) >= {percent} * greatest({one}.n, {other}.n)")
 
@@ -132,57 +149,57 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    signed = rows.mapInArrow(_signatures(width), f"doc_id {kind}, cid binary, n long, u array<long>, v array<long>, s0 long, s1 long, s2 long, s3 long")
-    signed = scratch.table(signed, "signed")
-    bits = ["s0", "s1", "s2", "s3"]
-    classes = scratch.table(signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("v").alias("v"), *(F.first(b).alias(b) for b in bits)), "classes")
+    longs = ", ".join(f"{x} long" for x in (*FIRST, *SECOND, *BITS))
+    signed = scratch.table(rows.mapInArrow(_signatures(width), f"doc_id {kind}, cid binary, n long, {longs}"), "signed")
+    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.max(x).alias(x) for x in ("n", *FIRST, *SECOND, *BITS)))
+    classes = scratch.table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
 
     # tables: first sketches that two classes share, each combined with every second sketch
-    first = classes.select("cid", F.explode("u").alias("u"))
-    shared = first.groupBy("u").agg(F.count("*").alias("members")).where("members > 1").select("u")
-    tables = first.join(shared, "u").join(classes.select("cid", F.explode("v").alias("v")), "cid").select("cid", F.xxhash64("u", "v").alias("tab"))
+    each = lambda packed, i, name: F.posexplode(F.array(*(F.expr(x) for x in _lanes(packed)))).alias(i, name)
+    first = classes.select("k", each(FIRST, "i", "u"))
+    shared = first.groupBy("i", "u").agg(F.count("*").alias("members")).where("members > 1").select("i", "u")
+    tables = first.join(shared, ["i", "u"]).join(classes.select("k", each(SECOND, "j", "v")), "k").select("k", F.xxhash64("i", "u", "j", "v").alias("tab"), (F.col("i") * SKETCHES + F.col("j")).alias("ij"))
     tables = scratch.table(tables, "tables")
     full = tables.groupBy("tab").agg(F.count("*").alias("members")).where("members > 1").select("tab")
     buckets = scratch.table(tables.join(full, "tab"), "buckets")
     scratch.drop(tables)
 
-    involved = classes.join(buckets.select("cid").distinct(), "cid").select("cid", "rep", "n", *bits)
-    involved = scratch.table(involved, "involved")
-    wanted = involved.select("cid", F.coalesce(F.col("rep").cast("string"), F.lit("~")).alias("id"))
-    texts = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("id"), "text").join(wanted, "id").select("cid", "text")
-    sets = scratch.table(texts.mapInArrow(_sets(width), "cid binary, shingles binary").dropDuplicates(["cid"]), "sets")
+    involved = scratch.table(classes.join(buckets.select("k").distinct(), "k"), "involved")
+    wanted = involved.select("k", "cid", F.coalesce(F.col("rep").cast("string"), F.lit("~")).alias("id"))
+    texts = split_by_ids(rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("id"), "text"), "id", wanted, "id")[1]
+    texts = texts.join(wanted.hint("merge"), "id").select("k", "cid", "text")
+    sets = scratch.table(texts.mapInArrow(_sets(width), "k long, shingles binary").dropDuplicates(["k"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that reach the similarity on their full sets."""
-        with_x = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-        return with_y.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary")
-
-    def likely(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
-        """Pairs of members of a bucket whose sketches and sizes allow the similarity."""
-        l, r = left.alias("l"), right.alias("r")
-        both = l.join(r, (F.col("l.tab") == F.col("r.tab")) & extra & _size_fits("l", "r", percent) & (_different("l", "r") <= MOST_DIFFERENT))
-        return both.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-
-    links, roots = None, None
-    for k in range(CENTRE_ROUNDS + 1):
-        grouped = involved.withColumn("root", F.col("cid")) if roots is None else involved.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        members = buckets.join(grouped.select("cid", "root", "n", *bits), "cid")
-        sizes = members.groupBy("tab", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid")).alias("first"))
-        open_tabs = sizes.groupBy("tab").agg(F.count("*").alias("roots"), F.min("first")["cid"].alias("centre"), F.max(F.struct("c", "root"))["root"].alias("largest")).where("roots > 1")
-        open_tabs = scratch.table(open_tabs.select("tab", "centre", "largest"), "open")
-        members = scratch.table(members.join(open_tabs, "tab"), "members")
-        if k < CENTRE_ROUNDS:
-            found = likely(members.where("cid = centre"), members.where("cid <> centre"), F.expr("l.root <> r.root"))
+        with_x = pairs.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a")
+        with_y = with_x.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
+        return with_y.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+
+    likely = _size_fits("l", "r", percent) & (_different("l", "r") <= MOST_DIFFERENT)
+    roots = None
+    for turn in range(CENTRE_ROUNDS + 1):
+        rooted = involved.select("k", F.col("k").alias("root")) if roots is None else involved.select("k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        members = scratch.table(buckets.join(rooted, "k"), "members")
+        sizes = members.groupBy("tab", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "root")).alias("first"))
+        open_tabs = sizes.groupBy("tab").agg(F.count("*").alias("roots"), F.min("first").alias("centre"), F.max(F.struct("c", "root"))["root"].alias("largest")).where("roots > 1")
+        members = members.join(open_tabs.select("tab", F.col("centre.k").alias("centre"), F.col("centre.root").alias("centre_root"), "largest"), "tab")
+        if turn < CENTRE_ROUNDS:
+            pairs = members.where("root <> centre_root").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
+            signs = involved.select("k", "n", *BITS)
+            l, r = pairs.join(signs.withColumnRenamed("k", "a"), "a").alias("l"), signs.alias("r")
+            found = l.join(r, F.col("l.b") == F.col("r.k")).where(likely).select("a", "b")
         else:
-            found = likely(members.where("root <> largest"), members, F.expr("l.root <> r.root and (r.root = r.largest or l.cid < r.cid)"))
+            wide = members.select("tab", "ij", "k", "root", "largest").join(involved.select("k", "n", *FIRST, *SECOND, *BITS), "k")
+            l, r = wide.where("root <> largest").alias("l"), wide.alias("r")
+            other = F.expr("l.root <> r.root and (r.root = r.largest or l.k < r.k)")
+            both = l.join(r, (F.col("l.tab") == F.col("r.tab")) & other & likely & (F.col("l.ij") == _first_table("l", "r")))
+            found = both.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct()
         new = scratch.table(confirmed(found), "new")
-        links = new if links is None else scratch.table(links.unionAll(new), "all-links")
-        scratch.drop(members, open_tabs)
-        roots = components(links if roots is None else new.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
+        roots = components(new if roots is None else new.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
     scratch.drop(sets)
 
-    rooted = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = classes.select("k", "cid", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     named = scratch.table(rooted.join(least, "root").select("cid", "component"), "named")
     out = signed.select("doc_id", "cid", "n").join(named, "cid", "left")
