@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 END_ID = 1
 NULL_ID = -(2**63)
 
@@ -65,7 +65,7 @@ class WordTokenizer:
 
         def model(word: str) -> bytes:
             if word not in lower:
-                lower[word] = self.known.get(word) or pack([t.id for t in self.tokenizer.model.tokenize(word)])
+                lower[word] = self.known[word] = self.known.get(word) or pack([t.id for t in self.tokenizer.model.tokenize(word)])
             return lower[word]
 
         marks = {m: pack(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
@@ -89,6 +89,16 @@ class WordTokenizer:
         return [b"".join([self.known[w] for w in ws]) for ws in split]
 
 
+_tokenizers: dict[tuple[str, str], WordTokenizer] = {}
+
+
+def tokenizer_of(path: str, dtype: str) -> WordTokenizer:
+    """One for each process, so that later tasks know the words of earlier ones."""
+    if (path, dtype) not in _tokenizers:
+        _tokenizers[path, dtype] = WordTokenizer(path, dtype)
+    return _tokenizers[path, dtype]
+
+
 def _file_system(uri: str):
     if "://" in uri or uri.startswith("file:"):
         return pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
@@ -103,7 +113,7 @@ def _writer(folder: str, path: str, dtype: str, end_id: int):
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
-        encode, end = WordTokenizer(path, dtype), np.array([end_id], dtype=dtype).tobytes()
+        encode, end = tokenizer_of(path, dtype), np.array([end_id], dtype=dtype).tobytes()
         width, docs, tokens = np.dtype(dtype).itemsize, 0, 0
         with fs.open_output_stream(f"{base}/tokens-{name}.bin") as t, fs.open_output_stream(f"{base}/offsets-{name}.bin") as o, fs.open_output_stream(f"{base}/ids-{name}.bin") as i:
             o.write(np.zeros(1, "<i8").tobytes())
