@@ -80,8 +80,7 @@ def url_tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
     """Token combinations that imply a block: ``tokens array<string>, confidence, support``.
 
-    ``labelled`` has ``tokens`` and a boolean ``bad``. Rules are pruned by support and confidence
-    and then by redundancy: a rule goes if a rule on a subset of its tokens is as confident.
+    ``labelled`` has ``tokens`` and a boolean ``bad``. Rules are pruned by support and confidence.
     """
     baskets = labelled.where(F.col("bad").isNotNull()).select(
         F.concat(F.col("tokens"), F.when(F.col("bad"), F.array(F.lit(BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))).alias("items")
