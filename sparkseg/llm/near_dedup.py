@@ -2,14 +2,14 @@
 
 Two small collections of sketches are computed, each sketch a pair of min-hashes; a table's key
 combines one sketch of the first collection with one of the second. 16 + 16 sketches so serve 256
-tables of four min-hashes each, for 64 min-hashes where independent tables would need 1,024. A
-table's bucket of two or more needs a first sketch that two texts share, so the combinations are
-only formed for sketches that do.
-
-Texts with the same shingle set are one class from the start. In each bucket, members are compared
-with a centre, links confirmed on the full sets, and components formed; what is then still in
-different components of one bucket is compared in full, except within the bucket's largest
-component, each pair in the first table that it shares. A pair of similarity 0.75 misses every table
+tables of four min-hashes each, for 64 min-hashes where independent tables would need 1,024.
+
+Texts with the same shingle set are one class from the start. In the buckets of 16 of the tables,
+one for each sketch, members are compared with a centre, links confirmed on the full sets, and
+components formed. An open bucket of any table needs a first sketch that two components share, so
+all combinations are formed for such sketches only. There members are compared with a centre again;
+what is then still in different components of one bucket is compared in full, except within the
+bucket's largest component, each pair in the first table that it shares. A pair of similarity 0.75 misses every table
 with a probability of 4e-6; two bits of 256 min-hashes sort out pairs before the exact check, of
 which such a pair fails with a probability of 1e-6.
 
@@ -154,54 +154,78 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.max(x).alias(x) for x in ("n", *FIRST, *SECOND, *BITS)))
     classes = scratch.table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
 
-    # tables: first sketches that two classes share, each combined with every second sketch
-    each = lambda packed, i, name: F.posexplode(F.array(*(F.expr(x) for x in _lanes(packed)))).alias(i, name)
-    first = classes.select("k", each(FIRST, "i", "u"))
-    shared = first.groupBy("i", "u").agg(F.count("*").alias("members")).where("members > 1").select("i", "u")
-    tables = first.join(shared, ["i", "u"]).join(classes.select("k", each(SECOND, "j", "v")), "k").select("k", F.xxhash64("i", "u", "j", "v").alias("tab"), (F.col("i") * SKETCHES + F.col("j")).alias("ij"))
-    tables = scratch.table(tables, "tables")
-    full = tables.groupBy("tab").agg(F.count("*").alias("members")).where("members > 1").select("tab")
-    buckets = scratch.table(tables.join(full, "tab"), "buckets")
-    scratch.drop(tables)
-
-    involved = scratch.table(classes.join(buckets.select("k").distinct(), "k"), "involved")
-    wanted = involved.select("k", "cid", F.coalesce(F.col("rep").cast("string"), F.lit("~")).alias("id"))
-    texts = split_by_ids(rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("id"), "text"), "id", wanted, "id")[1]
-    texts = texts.join(wanted.hint("merge"), "id").select("k", "cid", "text")
-    sets = scratch.table(texts.mapInArrow(_sets(width), "k long, shingles binary").dropDuplicates(["k"]), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that reach the similarity on their full sets."""
-        with_x = pairs.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
-        return with_y.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    def involved_in(buckets: DataFrame) -> DataFrame:
+        return scratch.table(classes.join(buckets.select("k").distinct(), "k"), "involved")
 
-    likely = _size_fits("l", "r", percent) & (_different("l", "r") <= MOST_DIFFERENT)
-    roots = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        rooted = involved.select("k", F.col("k").alias("root")) if roots is None else involved.select("k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        members = scratch.table(buckets.join(rooted, "k"), "members")
+    def sets_of(involved: DataFrame) -> DataFrame:
+        wanted = involved.select("k", "cid", F.coalesce(F.col("rep").cast("string"), F.lit("~")).alias("id"))
+        texts = split_by_ids(rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("id"), "text"), "id", wanted, "id")[1]
+        texts = texts.join(wanted.hint("merge"), "id").select("k", "cid", "text")
+        return scratch.table(texts.mapInArrow(_sets(width), "k long, shingles binary").dropDuplicates(["k"]), "sets")
+
+    def rooted(of: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Rows of classes with the root of their component so far."""
+        if roots is None:
+            return of.withColumn("root", F.col("k"))
+        return of.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+    def opened(members: DataFrame, turn: int) -> DataFrame:
+        """Members of buckets that hold several components, with the bucket's centre and largest component."""
         sizes = members.groupBy("tab", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "root")).alias("first"))
-        open_tabs = sizes.groupBy("tab").agg(F.count("*").alias("roots"), F.min("first").alias("centre"), F.max(F.struct("c", "root"))["root"].alias("largest")).where("roots > 1")
-        members = members.join(open_tabs.select("tab", F.col("centre.k").alias("centre"), F.col("centre.root").alias("centre_root"), "largest"), "tab")
-        if turn < CENTRE_ROUNDS:
-            pairs = members.where("root <> centre_root").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
-            signs = involved.select("k", "n", *BITS)
-            l, r = pairs.join(signs.withColumnRenamed("k", "a"), "a").alias("l"), signs.alias("r")
-            found = l.join(r, F.col("l.b") == F.col("r.k")).where(likely).select("a", "b")
-        else:
-            wide = members.select("tab", "ij", "k", "root", "largest").join(involved.select("k", "n", *FIRST, *SECOND, *BITS), "k")
-            l, r = wide.where("root <> largest").alias("l"), wide.alias("r")
-            other = F.expr("l.root <> r.root and (r.root = r.largest or l.k < r.k)")
-            both = l.join(r, (F.col("l.tab") == F.col("r.tab")) & other & likely & (F.col("l.ij") == _first_table("l", "r")))
-            found = both.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct()
-        new = scratch.table(confirmed(found), "new")
-        roots = components(new if roots is None else new.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
-    scratch.drop(sets)
-
-    rooted = classes.select("k", "cid", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = scratch.table(rooted.join(least, "root").select("cid", "component"), "named")
+        tabs = sizes.groupBy("tab").agg(F.count("*").alias("roots"), F.min("first").alias("centre"), F.max(F.struct("c", "root"))["root"].alias("largest")).where("roots > 1")
+        return members.join(tabs.select("tab", F.col("centre.k").alias("centre"), F.col("centre.root").alias("centre_root"), "largest"), "tab")
+
+    likely = _size_fits("l", "r", percent) & (_different("l", "r") <= MOST_DIFFERENT)
+
+    def with_centres(members: DataFrame, involved: DataFrame, turn: int) -> DataFrame:
+        pairs = opened(members, turn).where("root <> centre_root").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
+        signs = involved.select("k", "n", *BITS)
+        l, r = pairs.join(signs.withColumnRenamed("k", "a"), "a").alias("l"), signs.alias("r")
+        return l.join(r, F.col("l.b") == F.col("r.k")).where(likely).select("a", "b")
+
+    def linked(found: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Roots after the pairs ``a, b`` that reach the similarity on their full sets."""
+        with_x = found.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a")
+        with_y = with_x.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
+        new = scratch.table(with_y.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "new")
+        return components(new if roots is None else new.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
+
+    # one table for each sketch settles most links with few rows
+    tab = F.array(*(F.xxhash64(F.lit(i), F.expr(x), F.expr(y)) for i, (x, y) in enumerate(zip(_lanes(FIRST), _lanes(SECOND)))))
+    some = classes.select("k", F.explode(tab).alias("tab"))
+    full = some.groupBy("tab").agg(F.count("*").alias("members")).where("members > 1").select("tab")
+    buckets = scratch.table(some.join(full, "tab"), "some")
+    involved = involved_in(buckets)
+    sets, roots = sets_of(involved), None
+    for turn in range(CENTRE_ROUNDS):
+        members = scratch.table(rooted(buckets, roots), "members")
+        roots = linked(with_centres(members, involved, turn), sets, roots)
+        scratch.drop(members)
+    scratch.drop(buckets, involved, sets)
+
+    # all tables: first sketches that two components share, each combined with every second sketch
+    each = lambda packed, i, name: F.posexplode(F.array(*(F.expr(x) for x in _lanes(packed)))).alias(i, name)
+    several = lambda of, *by: of.groupBy(*by).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*by)
+    first = scratch.table(rooted(classes, roots).select("k", "root", each(FIRST, "i", "u")), "first")
+    tables = first.join(several(first, "i", "u"), ["i", "u"]).join(classes.select("k", each(SECOND, "j", "v")), "k")
+    tables = scratch.table(tables.select("k", "root", F.xxhash64("i", "u", "j", "v").alias("tab"), (F.col("i") * SKETCHES + F.col("j")).cast("short").alias("ij")), "tables")
+    buckets = scratch.table(tables.join(several(tables, "tab"), "tab"), "buckets")
+    scratch.drop(first, tables)
+    involved = involved_in(buckets)
+    sets = sets_of(involved)
+    roots = linked(with_centres(buckets, involved, CENTRE_ROUNDS), sets, roots)
+    members = scratch.table(rooted(buckets.drop("root"), roots), "members")
+    scratch.drop(buckets)
+    wide = opened(members, 0).select("tab", "ij", "k", "root", "largest").join(involved.select("k", "n", *FIRST, *SECOND, *BITS), "k")
+    l, r = wide.where("root <> largest").alias("l"), wide.alias("r")
+    other = F.expr("l.root <> r.root and (r.root = r.largest or l.k < r.k)")
+    both = l.join(r, (F.col("l.tab") == F.col("r.tab")) & other & likely & (F.col("l.ij") == _first_table("l", "r")))
+    roots = linked(both.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct(), sets, roots)
+    scratch.drop(sets, members, involved)
+
+    all_rooted = rooted(classes.select("k", "cid", "rep"), roots)
+    least = all_rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    named = scratch.table(all_rooted.join(least, "root").select("cid", "component"), "named")
     out = signed.select("doc_id", "cid", "n").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
