@@ -79,14 +79,22 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed."""
-        split = [self.words(t) if t else [] for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-            missing = {w for ws in split for w in ws}
-        if missing:
-            self._learn(missing)
-        return [b"".join([self.known[w] for w in ws]) for ws in split]
+        found, new = [], {}
+        for i, t in enumerate(texts):
+            words = self.words(t) if t else []
+            try:
+                found.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                found.append(b"")
+                new[i] = words
+        if new:
+            missing = {w for ws in new.values() for w in ws}
+            if len(self.known) + len(missing) > CACHED_WORDS:
+                self.known.clear()
+            self._learn(missing.difference(self.known))
+            for i, words in new.items():
+                found[i] = b"".join(map(self.known.__getitem__, words))
+        return found
 
 
 _tokenizers: dict[tuple[str, str], WordTokenizer] = {}
