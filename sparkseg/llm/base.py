@@ -198,7 +198,8 @@ def without_ids(rows: DataFrame, key: str, ids: DataFrame, ids_key: str) -> Data
 
 def words_sql(text: str) -> str:
     """Spark SQL for the words of a column: an array, empty for null."""
-    return f"filter(split(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{WHITE}]+'), w -> w <> '')"
+    white = WHITE.replace("\\", "\\\\")  # a SQL literal takes one backslash away
+    return f"filter(split(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{white}]+'), w -> w <> '')"
 
 
 def crc32_of(column: str):

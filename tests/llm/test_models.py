@@ -1,8 +1,11 @@
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkseg.llm import langid, lm, quality, url_filter
+from sparkseg.llm.base import words_of
 
 SCHEMA = "doc_id long, text string, lang string, score string, held_out string, n long"
 
@@ -100,6 +103,14 @@ def test_scores_are_the_sums_of_the_conditionals():
         assert s == pytest.approx(total, rel=1e-4, abs=1e-6)
 
 
+def test_vocabulary_counts_the_words(spark):
+    texts = ["The cat, the Dog.\nthe end x2\t0 9\x0bx", "Éa é  the\r\nCAT, \x0c end", " ", None, "a\u00a0b the"]
+    count = collections.Counter(w for t in texts for w in words_of(t))
+    got = lm.vocabulary_of(frame(spark, [(i, t, "x") for i, t in enumerate(texts)]), 100)
+    assert sorted(got, key=got.get) == sorted(count, key=lambda w: (-count[w], w))
+    assert list(lm.vocabulary_of(frame(spark, [(i, t, "x") for i, t in enumerate(texts)]), 2)) == [b"the", b"cat,"]
+
+
 def test_likelihood_prefers_the_language_it_saw(spark):
     rng = np.random.default_rng(0)
     order = [f"w{i}" for i in range(12)]
