@@ -201,3 +201,17 @@ def test_repeated_passages(spark):
             assert cut(r.doc_id, r.start_word) == cut(r.source_doc_id, r.source_start_word)
         assert r.n_words >= 50
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_passages_with_words_put_in_or_left_out(spark):
+    rng = random.Random(8)
+    vocabulary = [f"e{i}" for i in range(9000)]
+    some = lambda k: rng.choices(vocabulary, k=k)
+    rows = []
+    for k in range(30):
+        p = some(60)
+        edited = p[:30] + some(1) + p[30:] if k % 2 else p[:29] + p[30:]
+        rows += [(2 * k, " ".join(some(40) + p + some(40))), (2 * k + 1, " ".join(some(25) + edited + some(70)))]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(2 * k + 1, 2 * k) for k in range(30)}
+    assert all(0.75 <= r.similarity < 1 and 50 <= r.n_words <= 65 for r in got)
