@@ -215,3 +215,15 @@ def test_passages_with_words_put_in_or_left_out(spark):
     got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
     assert {(r.doc_id, r.source_doc_id) for r in got} == {(2 * k + 1, 2 * k) for k in range(30)}
     assert all(0.75 <= r.similarity < 1 and 50 <= r.n_words <= 65 for r in got)
+
+
+def test_passages_whose_shingles_all_stand_in_an_earlier_document(spark):
+    """The passage is made of overlapping lines, each with another context in earlier documents."""
+    rng = random.Random(9)
+    vocabulary = [f"h{i}" for i in range(9000)]
+    some = lambda k: rng.choices(vocabulary, k=k)
+    p = some(60)
+    rows = [(i, " ".join(some(60) + p[a : a + 25] + some(60))) for i, a in enumerate(range(0, 36, 5))]
+    rows += [(100, " ".join(some(30) + p + some(30))), (101, " ".join(some(50) + p + some(10)))]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.source_doc_id, r.n_words) for r in got} == {(101, 100, 60)}
