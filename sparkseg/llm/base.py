@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,68 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a folder of this machine is made.
+    Where the session has none, a local master gets a folder of this machine; a cluster gets an error,
+    since its executors couldn't see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="sparkseg-"))
     return _LOCAL[0]
 
 
+#: Rows and bytes of an Arrow batch: what a task's Python side holds of its input at once.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by rows and bytes, where the session allows more."""
+    for setting, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(setting)).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(setting, str(most))
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the machine; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that gives freed memory back when its task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over the Arrow batches of ``df``, which are small, with memory given back at each task's end."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of these frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage and outlive a lost executor.
 
@@ -95,7 +150,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, the same in every process; remembers a bounded number."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self):
         self._known: dict[bytes, int] = {}
@@ -140,52 +195,35 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS
     return np.unique(window_hashes(hashes(words_of(text)), width))
 
 
-#: The filter of ids: a fixed size, 2 MB. Where it fills up it lets more rows pass, never fewer.
+#: The filter of ids: a fixed size, 2**18 words of 64 bits. Where it fills up it lets more rows pass, never fewer.
 FILTER_BITS = 24
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def _id_slots(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(zero_copy_only=False)))], ["slot"])
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size that holds all of a column of longs: others may pass, none of these fails."""
-    words = ids.mapInArrow(_id_slots, "slot long").groupBy(F.expr("slot div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 63 as int)))").alias("bits"))
-    table = np.zeros((1 << FILTER_BITS) // 63 + 1, np.uint64)
-    found = words.toArrow()
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return table
-
+def id_hash(key):
+    """A hash of an id of any type; null has one too."""
+    return F.xxhash64(F.coalesce(key.cast("string"), F.lit("~")))
 
-def passes(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = _slots(ids)
-    return (table[slot // 63] >> (slot % 63).astype(np.uint64)) & np.uint64(1) != 0
 
+def _word(h):
+    return F.shiftrightunsigned(h, 64 - FILTER_BITS + 6)
 
-def _passing(shared, wanted: bool):
-    def run(batches):
-        for batch in batches:
-            keep = passes(shared.value, batch.column("id_hash_").to_numpy(zero_copy_only=False)) == wanted
-            yield batch.drop_columns(["id_hash_"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _bit(h):
+    return F.shiftrightunsigned(h, 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
 
 
-def id_hash(key):
-    """A hash of an id of any type; null has one too."""
-    return F.xxhash64(F.coalesce(key.cast("string"), F.lit("~")))
+def id_filter(ids: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """A bit table of fixed size, ``word_, bits_``, with a bit for each id; few enough rows to broadcast."""
+    words = ids.select(id_hash(ids[key]).alias("h")).select(_word(F.col("h")).alias("word_"), _bit(F.col("h")).alias("bit"))
+    return scratch.table(words.groupBy("word_").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits_")), "id-filter")
 
 
 def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, ids_key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose id is surely none of ``ids``, and those whose id may be; without a shuffle of rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(id_filter(ids.select(id_hash(ids[ids_key]).alias("h"))))
-    hashed = rows.withColumn("id_hash_", id_hash(rows[key]))
-    surely_not, maybe = (hashed.mapInArrow(_passing(shared, w), rows.schema) for w in (False, True))
+    words = id_filter(ids, ids_key, Scratch(rows.sparkSession, "id-filter"))
+    h = id_hash(rows[key])
+    held = (_word(h) == words["word_"]) & (F.getbit(words["bits_"], _bit(h)) == 1)
+    surely_not, maybe = (rows.join(F.broadcast(words), held, how) for how in ("left_anti", "left_semi"))
     return surely_not, maybe
 
 

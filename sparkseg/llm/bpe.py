@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseg.llm.base import in_arrow
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: A pre-token's end is certain this far from a cut: the pattern looks at most three characters on.
@@ -128,13 +130,13 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk_chars + overlap
-    short = rows.where(~is_long).mapInArrow(_encode(path, pattern), f"doc_id {kind}, ids array<int>")
+    short = rows.where(~is_long).transform(in_arrow, _encode(path, pattern), f"doc_id {kind}, ids array<int>")
 
     # equal rows share a key, so that it is the same whenever a task is run again
     long = rows.where(is_long).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).select("doc_id", F.sha2("text", 256).alias("sha"), "copies", "text")
     keys = f"doc_id {kind}, sha string, copies long"
-    cut = long.mapInArrow(_cut(chunk_chars, overlap), f"{keys}, k int, is_last boolean, piece string").repartition("doc_id", "sha", "k")
-    zoned = cut.mapInArrow(_zones(path, pattern, chunk_chars, overlap), f"{keys}, k int, is_last boolean, piece string, head array<int>, tail array<int>")
+    cut = long.transform(in_arrow, _cut(chunk_chars, overlap), f"{keys}, k int, is_last boolean, piece string").repartition("doc_id", "sha", "k")
+    zoned = cut.transform(in_arrow, _zones(path, pattern, chunk_chars, overlap), f"{keys}, k int, is_last boolean, piece string, head array<int>, tail array<int>")
     by_doc = "partition by doc_id, sha"
     stitched = zoned.selectExpr("*",
         f"case when k = 0 then 0 else array_min(array_intersect(lag(tail) over ({by_doc} order by k), head)) end as start",
@@ -144,7 +146,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     # without a common boundary: each chunk's own part again, joined to the whole text
     whole = stitched.where("not in_step").selectExpr("doc_id", "sha", "copies", "k", f"if(is_last, piece, substring(piece, 1, {chunk_chars})) as piece")
     whole = whole.groupBy("doc_id", "sha", "copies").agg(F.expr("array_join(transform(array_sort(collect_list(struct(k, piece))), x -> x.piece), '')").alias("piece")).select("doc_id", "sha", "copies", F.lit(0).alias("k"), "piece")
-    encoded = pieces.repartition("doc_id", "sha", "k").unionByName(whole).mapInArrow(_encode(path, pattern), f"{keys}, k int, ids array<int>")
+    encoded = pieces.repartition("doc_id", "sha", "k").unionByName(whole).transform(in_arrow, _encode(path, pattern), f"{keys}, k int, ids array<int>")
     joined = encoded.groupBy("doc_id", "sha", "copies").agg(F.expr("flatten(transform(array_sort(collect_list(struct(k, ids))), x -> x.ids))").alias("ids"))
     return short.unionByName(joined.select("doc_id", "ids", F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy"))
 
@@ -169,7 +171,7 @@ def _decode(path: str):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes of the tokens of ``ids`` one after another."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decode(path), f"{kinds}, decoded binary")
+    return encoded.transform(in_arrow, _decode(path), f"{kinds}, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, **names) -> DataFrame:

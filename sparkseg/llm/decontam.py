@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, mix, shingle_set, without_ids, word_hashes
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, in_arrow, mix, shingle_set, without_ids, word_hashes
 
 HASHES = 16
 #: Shingles in a block of items (8 bytes each); a block is what a task holds at once.
@@ -109,14 +109,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
-    items = items.mapInArrow(_item_sets(width), "item_id long, shingles binary").where("length(shingles) > 0")
+    items = items.transform(in_arrow, _item_sets(width), "item_id long, shingles binary").where("length(shingles) > 0")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {kind}, item_id long, n_item long, n_shared long"
     scratch, written, last = Scratch(spark, "decontam"), [], None
     for block in _blocks(items, block_shingles):
         if last is not None:  # more than one block: each one's result is a written table
             written.append(scratch.table(last, "found"))
-        last = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), width, percent), schema)
+        last = rows.transform(in_arrow, _search(spark.sparkContext.broadcast(block), width, percent), schema)
     for w in written:
         last = last.unionByName(w)
     return last.distinct().withColumn("containment", F.col("n_shared") / F.col("n_item"))

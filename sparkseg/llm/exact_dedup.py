@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import Scratch, split_by_ids
+from sparkseg.llm.base import Scratch, fresh, in_arrow, split_by_ids
 
 #: Two primes below 2**31 and a base for each.
 MODULI = (2147483647, 2147483629)
@@ -107,10 +107,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", modul
     kind = docs.schema[key].dataType.simpleString()
     keys = f"doc_id {kind}, n_bytes long, sha256 string"
     rows = rows.select("doc_id", "n_bytes", F.sha2("norm", 256).alias("sha256"), "norm")
-    small = rows.where(F.col("n_bytes") <= HUGE_BYTES).mapInArrow(_hash_rows(moduli, bases), f"{keys}, fp long")
+    small = rows.where(F.col("n_bytes") <= HUGE_BYTES).transform(in_arrow, _hash_rows(moduli, bases), f"{keys}, fp long")
     small = small.groupBy("doc_id", "n_bytes", "sha256", "fp").agg(F.count("*").alias("copies"))
     pieces = rows.where(F.col("n_bytes") > HUGE_BYTES).select("doc_id", "n_bytes", "sha256", F.posexplode(_chunks("norm")).alias("idx", "chunk"))
-    hashed = pieces.repartition("doc_id", "sha256", "idx").mapInArrow(_hash_chunks(moduli, bases), f"{keys}, idx int, h0 long, h1 long, s0 long, s1 long")
+    hashed = pieces.repartition("doc_id", "sha256", "idx").transform(in_arrow, _hash_chunks(moduli, bases), f"{keys}, idx int, h0 long, h1 long, s0 long, s1 long")
     m0, m1 = moduli
     huge = hashed.groupBy("doc_id", "n_bytes", "sha256").agg(
         F.array_sort(F.collect_set(F.struct("idx", "h0", "h1", "s0", "s1"))).alias("parts"), F.count_if(F.col("idx") == 0).alias("copies")
@@ -181,8 +181,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     surely, maybe = split_by_ids(docs, key, out, "id_")
     same = maybe[key].eqNullSafe(out["id_"]) & (F.sha2(normalised(maybe[text]).cast("binary"), 256) == out["sha_"])
     stay = maybe.join(out.hint("merge"), same, "left_anti")
-    repeated = maybe.join(out.where("kept_").hint("merge"), same, "left_semi")  # rows of one id and text: one stays
-    return surely.unionByName(stay).unionByName(repeated.dropDuplicates([key]))
+    # rows of one id and text: one stays; an id may have several such texts, and null ids are many documents
+    repeated = maybe.join(out.where("kept_").hint("merge"), same, "left_semi")
+    sha = fresh("sha", docs)
+    repeated = repeated.withColumn(sha, F.sha2(normalised(repeated[text]).cast("binary"), 256)).dropDuplicates([key, sha]).drop(sha)
+    return surely.unionByName(stay).unionByName(repeated)
 
 
 ORACLE_SQL = r"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import crc32_of, mix
+from sparkseg.llm.base import crc32_of, in_arrow, mix
 
 ORDERS = (3, 4)
 MIN_SHARE = 3e-5
@@ -123,7 +123,7 @@ class Filter:
 def learn(training: DataFrame, orders=ORDERS, min_share: float = MIN_SHARE, min_count: int = MIN_COUNT) -> Filter:
     """A filter from all rows of ``training(lang, text)``."""
     rows = training.where("lang is not null and text is not null").select("lang", "text")
-    counted = rows.mapInArrow(_count(orders), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.transform(in_arrow, _count(orders), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
         totals = {r.lang: r.total for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Filter, orders=ORDERS) -> DataFrame:
     """The columns of ``docs`` but ``text``, with ``lang_pred`` and ``score``."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared, orders), f"{kinds}, lang_pred string, score double")
+    return docs.transform(in_arrow, _predict(shared, orders), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -6,12 +6,18 @@ tables of four min-hashes each, for 64 min-hashes where independent tables would
 
 Texts with the same shingle set are one class from the start. In the buckets of 16 of the tables,
 one for each sketch, members are compared with a centre, links confirmed on the full sets, and
-components formed. An open bucket of any table needs a first sketch that two components share, so
-all combinations are formed for such sketches only. There members are compared with a centre again;
-what is then still in different components of one bucket is compared in full, except within the
-bucket's largest component, each pair in the first table that it shares. A pair of similarity 0.75 misses every table
-with a probability of 4e-6; two bits of 256 min-hashes sort out pairs before the exact check, of
-which such a pair fails with a probability of 1e-6.
+components formed. What is then still in different components is searched in all tables: two classes
+share a table if they share a first and a second sketch, so buckets of first sketches that several
+components share are joined with themselves where a second sketch is equal too, without a row for
+each table. A pair within the bucket's largest component isn't formed. A pair of similarity 0.75
+misses every table with a probability of 4e-6.
+
+Pairs are formed only if they pass two comparisons of sketches inside the join: parities of the
+shingles' hashes in 1,024 slots (a set difference of d changes at most d of them, so no pair at the
+threshold fails) and two bits of 256 min-hashes, of which a pair at the threshold fails with a
+probability of 1e-6. What passes is confirmed on the full sets. So neither pairs nor sets are formed
+for a group's unrelated members; what grows with the square of a bucket's components is the
+comparison of sketches inside the join.
 
 Defined results: null and empty texts and those without words have no shingles, no links and are
 kept; null ids count as larger than any other (a component of null ids alone has a null id);
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, mix, shingle_set, split_by_ids, without_ids, word_hashes
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, in_arrow, mix, shingle_set, split_by_ids, without_ids, word_hashes
 from sparkseg.llm.components import components
 
 SKETCHES = 16
@@ -44,6 +50,10 @@ _ADD = _SEEDS.astype(np.uint32)
 FIRST = [f"p{i}" for i in range(SKETCHES // 2)]
 SECOND = [f"q{i}" for i in range(SKETCHES // 2)]
 BITS = [f"b{i}" for i in range(VALUES // 32)]
+#: Parities of the number of shingles in each slot.
+SLOTS = 1024
+ODD = [f"o{i}" for i in range(SLOTS // 64)]
+SIGNS = [*FIRST, *SECOND, *BITS, *ODD]
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -56,12 +66,13 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """``FIRST``, ``SECOND`` and ``BITS`` of a set."""
+    """``SIGNS`` of a set."""
     hashes = min_hashes(shingles)
     pairs = hashes[: 2 * SKETCHES * PAIR].astype(np.uint64).reshape(2 * SKETCHES, PAIR)
     keys = mix(pairs[:, 0] << np.uint64(32) | pairs[:, 1]) >> np.uint64(32)
     two = ((hashes * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
-    return np.concatenate([keys[::2] | keys[1::2] << np.uint64(32), np.bitwise_or.reduce(two, axis=1)]).view(np.int64)
+    odd = np.packbits(np.bincount((shingles & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) & 1, bitorder="little").view(np.uint64)
+    return np.concatenate([keys[::2] | keys[1::2] << np.uint64(32), np.bitwise_or.reduce(two, axis=1), odd]).view(np.int64)
 
 
 def class_key(shingles: np.ndarray) -> bytes:
@@ -69,12 +80,12 @@ def class_key(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(width: int):
-    names = [*FIRST, *SECOND, *BITS]
+    names = SIGNS
 
     def run(batches):
         hashes, none = word_hashes(), np.zeros(len(names), np.int64)
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 cids, sizes, found = [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text, hashes, width)
@@ -93,7 +104,7 @@ def _sets(width: int):
     def run(batches):
         hashes = word_hashes()
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 numbers, sets = [], []
                 for number, cid, text in zip(*(part.column(c).to_pylist() for c in ("k", "cid", "text"))):
                     s = shingle_set(text, hashes, width)
@@ -134,14 +145,16 @@ def _lanes(packed: list[str], table: str = "") -> list[str]:
     return [x for p in packed for x in (f"({dot}{p} & 4294967295L)", f"shiftrightunsigned({dot}{p}, 32)")]
 
 
-def _first_table(one: str, other: str) -> Column:
-    """The first table that two classes share; a pair is taken up in that one alone."""
-    first = lambda packed: "case " + " ".join(f"when {x} = {y} then {i}" for i, (x, y) in enumerate(zip(_lanes(packed, one), _lanes(packed, other)))) + " end"
-    return F.expr(f"({first(FIRST)}) * {SKETCHES} + ({first(SECOND)})")
+def _share_second(one: str, other: str) -> Column:
+    """Whether two classes have an equal second sketch."""
+    return F.expr(" or ".join(f"{x} = {y}" for x, y in zip(_lanes(SECOND, one), _lanes(SECOND, other))))
 
 
-def _size_fits(one: str, other: str, percent: int) -> Column:
-    return F.expr(f"100 * least({one}.n, {other}.n) >= {percent} * greatest({one}.n, {other}.n)")
+def _likely(one: str, other: str, percent: int) -> Column:
+    """What pairs of this similarity fulfil: certainly in size and parities, nearly surely in two-bit values."""
+    size = F.expr(f"100 * least({one}.n, {other}.n) >= {percent} * greatest({one}.n, {other}.n)")
+    odd = F.expr(f"{100 + percent} * (" + " + ".join(f"bit_count({one}.{o} ^ {other}.{o})" for o in ODD) + f") <= {100 - percent} * ({one}.n + {other}.n)")
+    return size & odd & (_different(one, other) <= MOST_DIFFERENT)
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -149,19 +162,17 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    longs = ", ".join(f"{x} long" for x in (*FIRST, *SECOND, *BITS))
-    signed = scratch.table(rows.mapInArrow(_signatures(width), f"doc_id {kind}, cid binary, n long, {longs}"), "signed")
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.max(x).alias(x) for x in ("n", *FIRST, *SECOND, *BITS)))
+    longs = ", ".join(f"{x} long" for x in SIGNS)
+    signed = scratch.table(rows.transform(in_arrow, _signatures(width), f"doc_id {kind}, cid binary, n long, {longs}"), "signed")
+    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.max(x).alias(x) for x in ("n", *SIGNS)))
     classes = scratch.table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
 
-    def involved_in(buckets: DataFrame) -> DataFrame:
-        return scratch.table(classes.join(buckets.select("k").distinct(), "k"), "involved")
-
     def sets_of(involved: DataFrame) -> DataFrame:
+        """The shingle sets of classes, each from one of its documents."""
         wanted = involved.select("k", "cid", F.coalesce(F.col("rep").cast("string"), F.lit("~")).alias("id"))
         texts = split_by_ids(rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("id"), "text"), "id", wanted, "id")[1]
         texts = texts.join(wanted.hint("merge"), "id").select("k", "cid", "text")
-        return scratch.table(texts.mapInArrow(_sets(width), "k long, shingles binary").dropDuplicates(["k"]), "sets")
+        return scratch.table(texts.transform(in_arrow, _sets(width), "k long, shingles binary").dropDuplicates(["k"]), "sets")
 
     def rooted(of: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Rows of classes with the root of their component so far."""
@@ -169,25 +180,21 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             return of.withColumn("root", F.col("k"))
         return of.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
-    def opened(members: DataFrame, turn: int) -> DataFrame:
-        """Members of buckets that hold several components, with the bucket's centre and largest component."""
-        sizes = members.groupBy("tab", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "root")).alias("first"))
-        tabs = sizes.groupBy("tab").agg(F.count("*").alias("roots"), F.min("first").alias("centre"), F.max(F.struct("c", "root"))["root"].alias("largest")).where("roots > 1")
-        return members.join(tabs.select("tab", F.col("centre.k").alias("centre"), F.col("centre.root").alias("centre_root"), "largest"), "tab")
-
-    likely = _size_fits("l", "r", percent) & (_different("l", "r") <= MOST_DIFFERENT)
-
     def with_centres(members: DataFrame, involved: DataFrame, turn: int) -> DataFrame:
-        pairs = opened(members, turn).where("root <> centre_root").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
-        signs = involved.select("k", "n", *BITS)
+        """Likely pairs of a bucket's members with its centre, a member of its largest component."""
+        sizes = members.groupBy("tab", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", "tab", F.lit(turn)).alias("h"), "k")).alias("first"))
+        tabs = sizes.groupBy("tab").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root", "first")).alias("top")).where("roots > 1")
+        open_tabs = tabs.select("tab", F.col("top.first.k").alias("centre"), F.col("top.root").alias("centre_root"))
+        pairs = members.join(open_tabs, "tab").where("root <> centre_root").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
+        signs = involved.select("k", "n", *BITS, *ODD)
         l, r = pairs.join(signs.withColumnRenamed("k", "a"), "a").alias("l"), signs.alias("r")
-        return l.join(r, F.col("l.b") == F.col("r.k")).where(likely).select("a", "b")
+        return l.join(r, (F.col("l.b") == F.col("r.k")) & _likely("l", "r", percent)).select("a", "b")
 
     def linked(found: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Roots after the pairs ``a, b`` that reach the similarity on their full sets."""
         with_x = found.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a")
         with_y = with_x.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
-        new = scratch.table(with_y.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "new")
+        new = scratch.table(with_y.select("a", "b", "x", "y").transform(in_arrow, _confirm(percent), "a long, b long"), "new")
         return components(new if roots is None else new.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
 
     # one table for each sketch settles most links with few rows
@@ -195,7 +202,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     some = classes.select("k", F.explode(tab).alias("tab"))
     full = some.groupBy("tab").agg(F.count("*").alias("members")).where("members > 1").select("tab")
     buckets = scratch.table(some.join(full, "tab"), "some")
-    involved = involved_in(buckets)
+    involved = scratch.table(classes.join(buckets.select("k").distinct(), "k"), "involved")
     sets, roots = sets_of(involved), None
     for turn in range(CENTRE_ROUNDS):
         members = scratch.table(rooted(buckets, roots), "members")
@@ -203,25 +210,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         scratch.drop(members)
     scratch.drop(buckets, involved, sets)
 
-    # all tables: first sketches that two components share, each combined with every second sketch
-    each = lambda packed, i, name: F.posexplode(F.array(*(F.expr(x) for x in _lanes(packed)))).alias(i, name)
-    several = lambda of, *by: of.groupBy(*by).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*by)
-    first = scratch.table(rooted(classes, roots).select("k", "root", each(FIRST, "i", "u")), "first")
-    tables = first.join(several(first, "i", "u"), ["i", "u"]).join(classes.select("k", each(SECOND, "j", "v")), "k")
-    tables = scratch.table(tables.select("k", "root", F.xxhash64("i", "u", "j", "v").alias("tab"), (F.col("i") * SKETCHES + F.col("j")).cast("short").alias("ij")), "tables")
-    buckets = scratch.table(tables.join(several(tables, "tab"), "tab"), "buckets")
-    scratch.drop(first, tables)
-    involved = involved_in(buckets)
-    sets = sets_of(involved)
-    roots = linked(with_centres(buckets, involved, CENTRE_ROUNDS), sets, roots)
-    members = scratch.table(rooted(buckets.drop("root"), roots), "members")
-    scratch.drop(buckets)
-    wide = opened(members, 0).select("tab", "ij", "k", "root", "largest").join(involved.select("k", "n", *FIRST, *SECOND, *BITS), "k")
+    # all tables: buckets of first sketches that several components share, joined where a second sketch is equal
+    each = F.posexplode(F.array(*(F.expr(x) for x in _lanes(FIRST)))).alias("i", "u")
+    first = rooted(classes.select("k", *FIRST), roots).select("k", "root", each)
+    sizes = first.groupBy("i", "u", "root").agg(F.count("*").alias("c"))
+    tabs = sizes.groupBy("i", "u").agg(F.count("*").alias("several"), F.max(F.struct("c", "root"))["root"].alias("largest")).where("several > 1").drop("several")
+    wide = scratch.table(first.join(tabs, ["i", "u"]).join(classes.select("k", "n", *SECOND, *BITS, *ODD), "k"), "wide")
     l, r = wide.where("root <> largest").alias("l"), wide.alias("r")
     other = F.expr("l.root <> r.root and (r.root = r.largest or l.k < r.k)")
-    both = l.join(r, (F.col("l.tab") == F.col("r.tab")) & other & likely & (F.col("l.ij") == _first_table("l", "r")))
-    roots = linked(both.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct(), sets, roots)
-    scratch.drop(sets, members, involved)
+    both = l.join(r, (F.col("l.i") == F.col("r.i")) & (F.col("l.u") == F.col("r.u")) & other & _share_second("l", "r") & _likely("l", "r", percent))
+    pairs = scratch.table(both.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct(), "pairs")
+    sets = sets_of(scratch.table(classes.join(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "k"), "involved"))
+    roots = linked(pairs, sets, roots)
+    scratch.drop(wide, pairs, sets)
 
     all_rooted = rooted(classes.select("k", "cid", "rep"), roots)
     least = all_rooted.groupBy("root").agg(F.min("rep").alias("component"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import crc32_of
+from sparkseg.llm.base import crc32_of, in_arrow
 
 BUCKETS = 1 << 16
 REPEATS = 16
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     """``docs(doc_id, text)`` and ``labels(doc_id, y)``: a model from at most ``max_rows`` labelled ids."""
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
-    joined = docs.join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(_features, "y int, features binary").toArrow()
+    joined = docs.join(F.broadcast(sample), "doc_id").select("y", "text").transform(in_arrow, _features, "y int, features binary").toArrow()
     rows = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int32) for x in joined.column("features")]
     y = np.array(joined.column("y").to_pylist(), dtype=np.int64)
     order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))  # the same model however the rows arrive
@@ -152,7 +152,7 @@ def _score(model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, one of them ``text``, and ``quality_score`` from 0 to 1."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, quality_score double")
+    return docs.transform(in_arrow, _score(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, quality_score double")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -26,6 +26,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseg.llm.base import in_arrow
+
 CACHED_WORDS = 500_000
 END_ID = 1
 NULL_ID = -(2**63)
@@ -145,7 +147,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    parts = dealt.mapInArrow(_writer(folder, tokenizer, dtype, end_id), "part int, name string, n_docs long, n_tokens long").collect()
+    parts = dealt.transform(in_arrow, _writer(folder, tokenizer, dtype, end_id), "part int, name string, n_docs long, n_tokens long").collect()
     parts = sorted((p.asDict() for p in parts), key=lambda p: p["part"])
     base_docs = base_tokens = 0
     for p in parts:
@@ -201,4 +203,4 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     manifest = read_manifest(folder)
     schema = "part int, name string, n_docs long, n_tokens long, base_docs long, base_tokens long"
     parts = spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in manifest["parts"]], schema)
-    return parts.repartition(max(1, len(manifest["parts"]))).mapInArrow(_reader(folder, manifest["dtype"]), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(max(1, len(manifest["parts"]))).transform(in_arrow, _reader(folder, manifest["dtype"]), "doc_id long, start long, n_tokens long, ids_crc32 long")

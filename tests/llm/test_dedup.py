@@ -227,3 +227,9 @@ def test_passages_whose_shingles_all_stand_in_an_earlier_document(spark):
     rows += [(100, " ".join(some(30) + p + some(30))), (101, " ".join(some(50) + p + some(10)))]
     got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
     assert {(r.doc_id, r.source_doc_id, r.n_words) for r in got} == {(101, 100, 60)}
+
+
+def test_repeated_rows_of_one_id_keep_each_text(spark):
+    rows = [(13, "a"), (13, "a"), (13, "b"), (13, "b"), (None, "c"), (None, "c"), (None, "d"), (None, "d"), (1, "e"), (2, "a")]
+    got = exact_dedup.deduplicated(frame(spark, rows))
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "e"), ("13", "b"), ("2", "a"), ("None", "c"), ("None", "d")]
