@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -147,33 +146,55 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x
 
 
-class WordHashes:
-    """64-bit hashes of words, the same in every process; remembers a bounded number."""
-
-    LIMIT = 200_000
-
-    def __init__(self):
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self._known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
-        except KeyError:
-            if len(known) > self.LIMIT:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
-
-
-_word_hashes = WordHashes()
-
-
-def word_hashes() -> WordHashes:
-    """One for each process, so that later tasks know the words of earlier ones."""
-    return _word_hashes
+#: A random number for each byte, and which bytes are white space.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_IS_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes whose words are hashed at once.
+HASHED_BYTES = 1 << 20
+_places = mix(np.arange(1000, 1064, dtype=np.uint64)) | np.uint64(1)
+
+
+def _place_factors(longest: int) -> np.ndarray:
+    """A random odd number for each place in a word."""
+    global _places
+    if longest <= len(_places):
+        return _places
+    factors = mix(np.arange(1000, 1000 + longest, dtype=np.uint64)) | np.uint64(1)
+    if longest <= 1 << 16:
+        _places = factors
+    return factors
+
+
+def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of some bytes: the sum of each byte's number times its place's."""
+    inside = np.concatenate([[False], ~_IS_WHITE[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    offsets = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(offsets, sizes)
+    with np.errstate(over="ignore"):
+        values = _BYTES[data[inside[1:-1]]] * _place_factors(int(sizes.max()))[place]
+        return starts, mix(np.add.reduceat(values, offsets) + sizes.astype(np.uint64) * _MULTIPLIER)
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words, A-Z lower-cased, the same in every process."""
+    encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b" ".join(encoded).lower()
+    ends = np.cumsum([len(e) + 1 for e in encoded])
+    places, found, at = [], [], 0
+    while at < len(data):
+        stop = min(at + HASHED_BYTES, len(data))
+        while stop < len(data) and not _IS_WHITE[data[stop]]:  # a block ends between words
+            stop += 1
+        starts, hashes = _hash_block(np.frombuffer(data, np.uint8, stop - at, at))
+        places.append(starts + at)
+        found.append(hashes)
+        at = stop
+    cuts = np.searchsorted(np.concatenate(places), ends[:-1]) if places else np.zeros(max(0, len(texts) - 1), np.int64)
+    return np.split(np.concatenate(found) if found else np.zeros(0, np.uint64), cuts) if texts else []
 
 
 def window_hashes(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -190,9 +211,9 @@ def window_hashes(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
         return mix(out)
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(window_hashes(hashes(words_of(text)), width))
+def shingle_sets(texts: list[str | None], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each whole text."""
+    return [np.unique(window_hashes(h, width)) for h in word_hashes(texts)]
 
 
 #: The filter of ids: a fixed size, 2**18 words of 64 bits. Where it fills up it lets more rows pass, never fewer.

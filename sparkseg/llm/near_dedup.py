@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, in_arrow, mix, shingle_set, split_by_ids, without_ids, word_hashes
+from sparkseg.llm.base import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, in_arrow, mix, shingle_sets, split_by_ids, without_ids
 from sparkseg.llm.components import components
 
 SKETCHES = 16
@@ -83,12 +83,11 @@ def _signatures(width: int):
     names = SIGNS
 
     def run(batches):
-        hashes, none = word_hashes(), np.zeros(len(names), np.int64)
+        none = np.zeros(len(names), np.int64)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 cids, sizes, found = [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingle_set(text, hashes, width)
+                for s in shingle_sets(part.column("text").to_pylist(), width):
                     cids.append(class_key(s) if len(s) else None)
                     sizes.append(len(s))
                     found.append(signature(s) if len(s) else none)
@@ -102,12 +101,10 @@ def _sets(width: int):
     """The shingle set of the texts whose class is the one asked for."""
 
     def run(batches):
-        hashes = word_hashes()
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 numbers, sets = [], []
-                for number, cid, text in zip(*(part.column(c).to_pylist() for c in ("k", "cid", "text"))):
-                    s = shingle_set(text, hashes, width)
+                for number, cid, s in zip(part.column("k").to_pylist(), part.column("cid").to_pylist(), shingle_sets(part.column("text").to_pylist(), width)):
                     if len(s) and class_key(s) == cid:
                         numbers.append(number)
                         sets.append(s.tobytes())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from sparkseg.llm import components, decontam, exact_dedup, near_dedup, substring_dedup
-from sparkseg.llm.base import Scratch, WordHashes, window_hashes, words_of
+from sparkseg.llm.base import Scratch, window_hashes, word_hashes, words_of
 
 SCHEMA = "doc_id long, text string, kept string, component_id long, cid string, fp string"
 
@@ -155,6 +155,21 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean} == {d for d, _ in docs} - {d for d, *_ in want}
     assert decontam.contaminated(frame(spark, []), bench).count() == 0
     assert decontam.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
+    named = bench.selectExpr("concat('item ', item_id) as item_id", "text")
+    assert {r.item_id for r in decontam.contaminated(frame(spark, docs), named).collect()} == {f"item {i}" if i is not None else None for _, i, _, _ in want}
+
+
+def test_item_signatures_by_partition():
+    rng = np.random.default_rng(5)
+    assert decontam.least_hits(32, 75) > 1 and decontam.least_hits(64, 75) > decontam.least_hits(32, 75)
+    vocabulary = rng.integers(1, 1 << 60, 20_000).astype(np.uint64)
+    items = [(i, np.unique(rng.choice(vocabulary, n))) for i, n in enumerate([3, 20, 32, 33, 100, 500, 3000] * 6)]
+    block = decontam.Block(items, 75)
+    for i, s in items:
+        part = rng.choice(s, -(-75 * len(s) // 100), replace=False)  # just at the threshold, in a long document
+        doc = np.unique(np.concatenate([part, rng.integers(1, 1 << 60, 30_000).astype(np.uint64)]))
+        want = {k for k, x in items if 100 * len(np.intersect1d(doc, x)) >= 75 * len(x)}
+        assert i in want and {k for k, _ in block.search(doc)} == want
 
 
 def test_compact_windows_cover_every_span_once():
@@ -185,8 +200,7 @@ def passage_rows(seed=0):
 
 def test_repeated_passages(spark):
     rows = passage_rows()
-    hashes = WordHashes()
-    seqs = [(i, window_hashes(hashes(words_of(t))).tolist()) for i, t in rows if i is not None and t]
+    seqs = [(i, window_hashes(h).tolist()) for (i, t), h in zip(rows, word_hashes([t for _, t in rows])) if i is not None and t]
     owners = collections.defaultdict(set)
     for i, s in seqs:
         for a in range(len(s) - 45):
@@ -233,3 +247,15 @@ def test_repeated_rows_of_one_id_keep_each_text(spark):
     rows = [(13, "a"), (13, "a"), (13, "b"), (13, "b"), (None, "c"), (None, "c"), (None, "d"), (None, "d"), (1, "e"), (2, "a")]
     got = exact_dedup.deduplicated(frame(spark, rows))
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "e"), ("13", "b"), ("2", "a"), ("None", "c"), ("None", "d")]
+
+
+def test_word_hashes_follow_words():
+    texts = [None, "", " \t", "One  TWO\nthree", "one two\x0bthree", "É é \u2003x", "a" * 70_000 + " b", "ab ba", "x " * 300]
+    got = word_hashes(texts)
+    want = [words_of(t) for t in texts]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    by_hash = {}
+    for g, w in zip(got, want):
+        for h, word in zip(g.tolist(), w):
+            assert by_hash.setdefault(h, word) == word
+    assert len(by_hash) == len({w for ws in want for w in ws})
