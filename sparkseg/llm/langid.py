@@ -32,13 +32,13 @@ HASHES = 3
 UNKNOWN = "und"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points with each run of other characters as one space, and which are letters."""
     codes = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    is_letter = _LETTER[codes]
     keep = np.ones(len(codes), bool)
     keep[1:] = is_letter[1:] | is_letter[:-1]
     codes = np.where(is_letter, codes, np.uint32(32))[keep]

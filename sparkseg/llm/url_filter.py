@@ -4,7 +4,7 @@ Everything on the main path is DataFrame or SQL functions (FP-growth is Spark's
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no tokens and
 so no mined rule; it is allowed unless a written rule fits. Null labels and pages without label
-are not mined. Repeated pages give a row each. No labelled page: no mined rules.
+are not mined. Repeated pages give a row each. No labelled page: no mined rules; no page: no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEM = "=block"
+MIN_SUPPORT = 0.002
+MIN_CONFIDENCE = 0.5
+MIN_COUNT = 10
+DEVIATIONS = 6.0
 
 
 @dataclass(frozen=True)
@@ -73,21 +77,32 @@ def url_tokens(url: Column) -> Column:
         ("q:", F.regexp_extract_all(text, F.lit(r"[?&]([^=&#]*)"), F.lit(1))),
         ("f:", F.split(no_digits(F.regexp_extract(text, r"(?s)#(.*)$", 1)), "#")),
     ]
-    parts = [F.transform(F.filter(a, lambda x: x != ""), lambda x, k=k: F.concat(F.lit(k), x)) for k, a in kinds]
+
+    def marked(kind: str):  # a function of one parameter: with a second one Spark passes the element's position
+        return lambda x: F.concat(F.lit(kind), x)
+
+    parts = [F.transform(F.filter(a, lambda x: x != ""), marked(k)) for k, a in kinds]
     return F.when(text.contains("://"), F.array_sort(F.array_distinct(F.concat(*parts)))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """Token combinations that imply a block: ``tokens array<string>, confidence, support``.
 
-    ``labelled`` has ``tokens`` and a boolean ``bad``. Rules are pruned by support and confidence.
+    ``labelled`` has ``tokens`` and a boolean ``bad``. A rule needs ``min_support`` of all baskets, and
+    ``min_count`` of them at least, that have its tokens and are bad; its confidence must reach
+    ``min_confidence`` and lie ``DEVIATIONS`` standard errors above the share of bad baskets, since
+    mining tries very many combinations and chance in a few pages must not make a rule.
     """
     baskets = labelled.where(F.col("bad").isNotNull()).select(
         F.concat(F.col("tokens"), F.when(F.col("bad"), F.array(F.lit(BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))).alias("items")
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    counted = labelled.where(F.col("bad").isNotNull()).agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    n, base = counted.n, counted.bad / max(1, counted.n)
+    share = min(1.0, max(min_support, min_count / n)) if n else 1.0
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK_ITEM).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    return rules
+    held = F.col("support") * n / F.col("confidence")  # baskets that have the tokens
+    return rules.where((F.col("confidence") - base) * F.sqrt(held) >= DEVIATIONS * (base * (1 - base)) ** 0.5)
 
 
 def _anchors(rules: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -111,14 +126,15 @@ def mined_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(F.max(F.struct("confidence", "support", "rule_tokens")).alias("mined"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: str = "toxic", min_support: float = 0.002, min_confidence: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: str = "toxic", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row per page: id, host, path, written rule, verdict and the mined rule that decided, if any."""
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     marks = labels.select(F.col(label_id).alias("page_id"), (F.col(bad) > 0).alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = base.join(marks, "page_id").select(url_tokens(F.col("url")).alias("tokens"), "bad")
-    mined = mine_rules(labelled, min_support, min_confidence)
+    mined = mine_rules(labelled, min_support, min_confidence, min_count)
     urls = base.where("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
-    judged = base.join(mined_matches(urls, mined), "url", "left")
+    matches = mined_matches(urls, mined)
+    judged = base.where("url is not null").join(matches, "url", "left").unionByName(base.where("url is null").withColumn("mined", F.lit(None).cast(matches.schema["mined"].dataType)))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = judged.select("page_id", host.alias("host"), path.alias("path"), "mined").withColumn("fit", written_rule(F.col("host"), F.col("path"), rules))
     return judged.select(

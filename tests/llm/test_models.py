@@ -184,3 +184,82 @@ def test_mined_rules_match_like_brute_force(spark):
     for r in base.collect():
         fits = [c for t, c in rules if t <= set(r.tokens)]
         assert matched.get(r.url) == (max(fits) if fits else None)
+
+
+def test_url_tokens_carry_their_kind(spark):
+    urls = ["https://Shop.example.net/es/item-12/x.html?ref=a&utm=b#part", "http://net/net?net=1#net", None, "no scheme", "https://"]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.url_tokens(F.col("url")).alias("t")).collect()
+    assert got[0].t == sorted(["s:https", "h:shop", "h:example", "h:net", "p:es", "p:item", "p:#", "p:x", "p:html", "q:ref", "q:utm", "f:part"])
+    assert got[1].t == ["f:net", "h:net", "p:net", "q:net", "s:http"]
+    assert [r.t for r in got[2:]] == [[], [], ["s:https"]]
+
+
+def test_chance_makes_no_rules_and_held_out_pages_are_blocked_rightly(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, f"https://{rng.choice(['a', 'b', 'c', 'bad'])}.org/{rng.choice(['x', 'y', 'z'])}/{rng.choice(['k', 'l'])}?{rng.choice(['q', 'r'])}=1") for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    noise = [(i, int(rng.random() < 0.12)) for i, _ in rows]
+    verdicts = lambda marks: {r.page_id: r.verdict for r in url_filter.filter_urls(pages, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert set(verdicts(noise).values()) == {"allow"}
+    bad = {i for i, u in rows if "bad.org" in u}
+    got = verdicts([(i, int(i in bad if rng.random() < 0.95 else i not in bad)) for i, _ in rows if i % 2])
+    held = [i for i, _ in rows if i % 2 == 0]
+    blocked = [i for i in held if got[i] == "block"]
+    assert len(set(blocked) & bad) >= 0.95 * len(blocked) and len(set(blocked) & bad) >= 0.95 * len(bad & set(held))
+    assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, t, "aa") for i, t in enumerate(["\U0001F600\U0001F600", "12 \U0001F680!", "\u2460 _"])] + [(50 + i, t, g) for i, (_, t, g) in enumerate(spoken(30))]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(3)] == ["und"] * 3
+    assert langid.letters("\U00010400a")[1].tolist()[1:3] == [True, True]
+
+
+def test_predictions_are_those_of_exact_ngram_sets(spark):
+    """Against plain Python sets of n-grams; the filter may only differ where two languages nearly tie."""
+    rows = spoken(90)
+    train = [(t, g) for i, t, g in rows if i % 3 or i % 2]
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string"), min_share=0.0, min_count=1)
+    held = collections.defaultdict(set)
+    for t, g in train:
+        held[g] |= set(langid.ngrams(t).tolist())
+    for _, t, _ in rows:
+        counts = {g: sum(x in held[g] for x in langid.ngrams(t).tolist()) for g in held}
+        best = max(counts.values())
+        assert counts[model.predict(t)[0]] >= best - 1
+    # ties go to the language that comes first; long texts count every part
+    tie = langid.learn(spark.createDataFrame([("abc abc", "zz"), ("abc abc", "yy")], "text string, lang string"))
+    assert tie.predict("abc")[0] == "yy" and model.predict(rows[0][1] * 3000)[0] == rows[0][2]
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Against projected gradient steps on the same dual problem."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(40, 12, replace=False)) for _ in range(60)]
+    y = np.array([int(f[:4].sum() + rng.integers(0, 6) > 14) for f in rows])
+    model = quality.fit(rows, y, epochs=2000)
+    ratio = quality.log_count_ratio(rows, y)
+    x = np.zeros((60, quality.SIZE))
+    for i, f in enumerate(rows):
+        x[i, f] = ratio[f] / np.sqrt((ratio[f] ** 2).sum())
+    x = np.hstack([x[:, :40], np.ones((60, 1))])
+    sign, upper = 2.0 * y - 1, np.where(y == 1, 60 / (2 * y.sum()), 60 / (2 * (1 - y).sum()))
+    q = (x @ x.T) * np.outer(sign, sign)
+    alpha = np.zeros(60)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / 60, 0, upper)
+    w = (alpha * sign) @ x
+    for i, f in enumerate(rows):
+        assert abs(model.margin(f) - x[i] @ w) < 0.02
+
+
+def test_accepted_documents_are_those_that_score(spark):
+    docs, labels = labelled()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = frame(spark, [*docs, docs[0], (None, None, "en"), (3, None, "x")])
+    scores = [(r.doc_id, r.predicted) for r in quality.judge(rows, marks).collect()]
+    kept = quality.accepted(rows, marks)
+    assert kept.columns == rows.columns
+    assert sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(str(i) for i, p in scores if p)
+    assert quality.accepted(rows.limit(0), marks).count() == 0
