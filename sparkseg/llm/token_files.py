@@ -8,14 +8,17 @@ no harm. Prefix sums over the parts' counts give each part's base.
 Format: ``tokens-*.bin`` little-endian uint16 (vocabulary up to 65,536) or uint32;
 ``offsets-*.bin`` int64, one more than documents; ``ids-*.bin`` int64; ``manifest.json``.
 
-Defined results: null text holds the end id alone; a null id stands first and reads back as null;
+Defined results: strings of special tokens in a text get their ids, as the library gives them; null text holds the end id alone; a null id stands first and reads back as null;
 rows with one id stand in order of their text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import gc
+import itertools
 import json
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -29,73 +32,100 @@ from pyspark.sql import functions as F
 from sparkseg.llm.base import in_arrow
 
 CACHED_WORDS = 500_000
+WORDS_AT_ONCE = 500
 END_ID = 1
 NULL_ID = -(2**63)
 
 
+#: Letters whose lower case is one letter whatever stands around them and that no normal form changes.
+_SIMPLE = "".join(chr(i) for i in range(0x250) if chr(i).isalpha() and i != 0x130)
+#: Such letters, and at most one mark after them, which is a token of its own.
+_SIMPLE_WORD = re.compile(f"([{_SIMPLE}]+)([.,;:!?)]?)")
+
+
 class WordTokenizer:
     """Ids of a text by the tokenizers library, word by word.
 
     The tokenizer's pattern never joins characters across a space or line feed, its normal form
-    neither, so a text's ids are those of its words one after another; words are remembered.
+    neither, so a text's ids are those of its words one after another; words are remembered. A word of
+    simple letters is one match of the pattern, so a new one goes, in lower case, to a copy of the tokenizer
+    without normal form and pattern; all other new words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.tokenizer = Tokenizer.from_str(json.dumps(parts))
+        spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, to_bytes]}}
+        self.bare = Tokenizer.from_str(json.dumps(parts))
+        suffix, vocabulary = parts["model"]["end_of_word_suffix"], self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.dtype = dtype
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?)", self._ids(self.tokenizer, list(".,;:!?)")))) | {"": b""}
+
+    def _ids(self, tokenizer, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def _simple_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of simple letters, many at a time: the last token of each word says that it is the last."""
+        texts = [" ".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        found = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)] if words else []
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.int64)
+        packed, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        ends = [0, *((np.flatnonzero(self.is_end[ids]) + 1) * width).tolist()]
+        return [packed[x:y] for x, y in zip(ends, ends[1:])]
 
     @staticmethod
     def words(text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
     def _learn(self, words: set[str]) -> None:
-        plain, rest, ended = [], [], []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                plain.append(w)
-            elif w[-1:] in ".," and w[:-1].isascii() and w[:-1].isalpha():  # a mark after letters is a token of its own
-                ended.append(w)
-            elif w:
-                rest.append(w)
-        pack = lambda ids: np.array(ids, dtype=self.dtype).tobytes()
-        lower: dict[str, bytes] = {}
-
-        def model(word: str) -> bytes:
-            if word not in lower:
-                lower[word] = self.known[word] = self.known.get(word) or pack([t.id for t in self.tokenizer.model.tokenize(word)])
-            return lower[word]
-
-        marks = {m: pack(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
-        self.known[""] = b""
-        for w in plain:
-            self.known[w] = model(w.lower())
-        for w in ended:
-            self.known[w] = model(w[:-1].lower()) + marks[w[-1]]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else []):
-            self.known[w] = pack(e.ids)
+        known, marks = self.known, self.marks
+        known[""] = b""
+        words.discard("")
+        matches = [(w, _SIMPLE_WORD.fullmatch(w)) for w in words]
+        bases = {w: m[1].lower() for w, m in matches if m}
+        new = list(set(bases.values()).difference(known))
+        known.update(zip(new, self._simple_ids(new), strict=True))
+        for w, base in bases.items():
+            known[w] = known[base] if len(w) == len(base) else known[base] + marks[w[-1]]
+        rest = [w for w, m in matches if not m]
+        known.update(zip(rest, self._ids(self.tokenizer, rest)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed."""
-        found, new = [], {}
-        for i, t in enumerate(texts):
-            words = self.words(t) if t else []
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the words remembered would be looked at each time
+        try:
+            return self._packed(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _packed(self, texts: list[str | None]) -> list[bytes]:
+        found, pending, missing = [], [], set()
+        for text in texts:
+            words = self.words(text) if text else []
+            ids = list(map(self.known.get, words))
             try:
-                found.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
+                found.append(b"".join(ids))
+            except TypeError:  # a word that isn't known
+                missing.update([w for w, x in zip(words, ids) if x is None])
+                pending.append((len(found), words, ids))
                 found.append(b"")
-                new[i] = words
-        if new:
-            missing = {w for ws in new.values() for w in ws}
+        if missing:
             if len(self.known) + len(missing) > CACHED_WORDS:
                 self.known.clear()
-            self._learn(missing.difference(self.known))
-            for i, words in new.items():
-                found[i] = b"".join(map(self.known.__getitem__, words))
+            self._learn(missing)
+            for i, words, ids in pending:
+                found[i] = b"".join([self.known[w] if x is None else x for w, x in zip(words, ids)])
         return found
 
 

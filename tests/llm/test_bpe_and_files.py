@@ -51,7 +51,6 @@ def test_token_files_hold_every_id_in_order(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     data = [*rows(), (10, "Straße ΟΔΟΣ ΟΔΟΣ. İstanbul éa ́x a\x1c,b Ünï.,!? it's 'TWAS don'T A.B, x.y.  z"), (11, "The the, the. THE")]
     manifest = token_files.write_tokens(df(spark, data), str(tmp_path), P.path("word_bpe_49k.json"), partitions=3)
     got = sorted(token_files.read_tokens(spark, str(tmp_path)).collect(), key=lambda r: r.start)
@@ -74,3 +73,16 @@ def test_words_are_forgotten_when_there_are_too_many(monkeypatch):
     t = token_files.WordTokenizer(P.path("word_bpe_49k.json"), "<u2")
     once = t(["a b c d e f, g."])
     assert t(["z y x", "a b c d e f, g."])[1] == once[0]
+
+
+def test_words_get_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own = token_files.WordTokenizer(P.path("word_bpe_49k.json"), "<u2")
+    letters = [chr(i) for i in range(1, 0x500) if not chr(i).isspace()]
+    rng = np.random.default_rng(0)
+    words = letters + [c + "ab" for c in letters] + ["Ab" + c for c in letters] + ["".join(rng.choice(letters, 5)) for _ in range(3000)]
+    words += ["<|endoftext|>", "a<|startoftext|>b.", "x.)", "it's", "A!", "\u0130x", "\u03a3\u03a3", "e\u0301a", "\u212aa", "\ufb01x"]
+    for text in [*words, " ".join(words)]:
+        assert np.frombuffer(own([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
