@@ -1,4 +1,5 @@
 import collections
+import zlib
 
 import numpy as np
 import pytest
@@ -263,3 +264,42 @@ def test_accepted_documents_are_those_that_score(spark):
     assert kept.columns == rows.columns
     assert sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(str(i) for i, p in scores if p)
     assert quality.accepted(rows.limit(0), marks).count() == 0
+
+
+def zipf_rows(n=60):
+    rng = np.random.default_rng(7)
+    return [(i, " ".join(f"z{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 90)) % 400), "x") for i in range(n)] + [(n, None, "x"), (None, "z1 " * 5000, "x")]
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = frame(spark, zipf_rows())
+    few, many = ({str(r.doc_id): r for r in lm.pseudo_likelihood(docs.repartition(n)).collect()} for n in (2, 16))
+    assert few.keys() == many.keys()
+    for i, r in few.items():
+        assert (r.mean_log_prob is None) == (many[i].mean_log_prob is None)
+        assert r.mean_log_prob is None or abs(r.mean_log_prob - many[i].mean_log_prob) < 1e-6
+
+
+def test_training_is_that_of_one_process(spark):
+    """The same steps over all texts at once, in double precision and without Spark."""
+    rows = zipf_rows(25)
+    docs = frame(spark, rows)
+    vocabulary, network, losses = lm.train(docs, frequent=12, rounds=2, mask_every=3)
+    texts = [vocabulary.ids(t) for _, t, _ in rows]
+    own, stepper, want = lm.Network.start(vocabulary.size, chances=vocabulary.chances), None, []
+    stepper = lm.Stepper(len(own.flat()))
+    for turn in range(6):
+        target, around = [], []
+        for t in texts:
+            start = zlib.crc32(t.tobytes())
+            for i in range(len(t)):
+                if (i + start) % 3 == turn % 3:
+                    target.append(t[i])
+                    around.append([t[i + d] if 0 <= i + d < len(t) else 0 for d in lm.OFFSETS])
+        loss, gradient = own.loss_and_gradient(np.array(target), np.array(around))
+        want.append(loss)
+        values = stepper.step(own.flat(), np.concatenate([g.ravel() for g in gradient]))
+        values[: -vocabulary.size] = np.clip(values[: -vocabulary.size], -lm.LARGEST, lm.LARGEST)
+        own = own.with_flat(values)
+    assert losses == pytest.approx(want, abs=1e-5) and want[-1] < want[0]
+    assert np.abs(network.flat() - own.flat()).max() < 1e-3
