@@ -13,6 +13,7 @@ row each, an empty table an empty result; null ids decode to no bytes.
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: A pre-token's end is certain this far from a cut: the pattern looks at most three characters on.
 CERTAIN_CHARS = 4
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
 ROWS_AT_ONCE = 200
 
 
@@ -40,23 +41,24 @@ class Encoder:
     """Pre-tokens by the pattern, each merged by the ranks on its own; remembers a bounded number."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
         self.split = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as packed 32-bit integers."""
         known, out = self.known, []
         for piece in self.split.findall(text):
             ids = known.get(piece)
             if ids is None:
-                ids = self.core._encode_single_piece(piece.encode("utf-8", "replace"))
+                found = self.core._encode_single_piece(piece.encode("utf-8", "replace"))
+                ids = struct.pack(f"={len(found)}i", *found)
                 if len(piece) < 64:
                     if len(known) >= CACHED_PIECES:
                         known.clear()
                     known[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def starts(self, text: str, zones: list[tuple[int, int]]) -> list[list[int]]:
         """Where pre-tokens begin, within each zone."""
@@ -88,7 +90,9 @@ def _encode(path: str, pattern: str):
         for batch in batches:
             for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
                 texts = part.columns[-1].to_pylist()
-                ids = _lists([enc.encode(t) if t else [] for t in texts])
+                packed = [enc.encode(t) if t else b"" for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
 
     return run
@@ -125,12 +129,11 @@ def _zones(path: str, pattern: str, chunk_chars: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """``doc_id, ids array<int>``, a row per document."""
+def _short_and_long(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The texts of one chunk, ``doc_id, text``, and the ids of the longer ones, ``doc_id, ids``."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk_chars + overlap
-    short = rows.where(~is_long).transform(in_arrow, _encode(path, pattern), f"doc_id {kind}, ids array<int>")
 
     # equal rows share a key, so that it is the same whenever a task is run again
     long = rows.where(is_long).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).select("doc_id", F.sha2("text", 256).alias("sha"), "copies", "text")
@@ -148,7 +151,13 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     whole = whole.groupBy("doc_id", "sha", "copies").agg(F.expr("array_join(transform(array_sort(collect_list(struct(k, piece))), x -> x.piece), '')").alias("piece")).select("doc_id", "sha", "copies", F.lit(0).alias("k"), "piece")
     encoded = pieces.repartition("doc_id", "sha", "k").unionByName(whole).transform(in_arrow, _encode(path, pattern), f"{keys}, k int, ids array<int>")
     joined = encoded.groupBy("doc_id", "sha", "copies").agg(F.expr("flatten(transform(array_sort(collect_list(struct(k, ids))), x -> x.ids))").alias("ids"))
-    return short.unionByName(joined.select("doc_id", "ids", F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy"))
+    return rows.where(~is_long), joined.select("doc_id", "ids", F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", **options) -> DataFrame:
+    """``doc_id, ids array<int>``, a row per document."""
+    short, long = _short_and_long(docs, path, pattern, key, **options)
+    return short.transform(in_arrow, _encode(path, pattern), f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>").unionByName(long)
 
 
 def _decode(path: str):
@@ -174,10 +183,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.transform(in_arrow, _decode(path), f"{kinds}, decoded binary")
 
 
+def _round_trip(path: str, pattern: str):
+    """Encodes and then decodes in one process, so that a task needs one worker and ids don't travel between two."""
+
+    def run(batches):
+        yield from _decode(path)(_encode(path, pattern)(batches))
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", **options) -> DataFrame:
+    """``doc_id, ids, decoded``: ``decode`` of ``encode``."""
+    short, long = _short_and_long(docs, path, pattern, key, **options)
+    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded binary"
+    return short.transform(in_arrow, _round_trip(path, pattern), schema).unionByName(decode(long, path))
+
+
 def digests(docs: DataFrame, path: str, pattern: str, **names) -> DataFrame:
     """Per document the number of ids, and digests of the ids and of the decoded bytes."""
-    both = decode(encode(docs, path, pattern, **names), path)
-    return both.select(
+    return round_trip(docs, path, pattern, **names).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
