@@ -1,8 +1,8 @@
 """From raw documents to token digests: five stages, each over all that its predecessor kept.
 
 Defined results: rows of null text have no indicators of low quality of their own and are judged as
-empty texts; null ids are kept apart from all others; repeated rows of one id and text become one;
-empty documents give an empty result.
+empty texts; a null id counts as larger than any other; of equal texts one row stays, whatever their
+ids, so repeated rows become one; empty documents give an empty result.
 """
 
 from __future__ import annotations
