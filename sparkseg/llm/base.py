@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than these six; they are ASCII white space.
-WHITE = r"\x20\x09-\x0D"
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 
@@ -255,12 +253,6 @@ def without_ids(rows: DataFrame, key: str, ids: DataFrame, ids_key: str) -> Data
     return surely_not.unionByName(maybe.join(gone.hint("merge"), maybe[key].eqNullSafe(gone["gone_id_"]), "left_anti"))
 
 
-def words_sql(text: str) -> str:
-    """Spark SQL for the words of a column: an array, empty for null."""
-    white = WHITE.replace("\\", "\\\\")  # a SQL literal takes one backslash away
-    return f"filter(split(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{white}]+'), w -> w <> '')"
-
-
 def crc32_of(column: str):
     """crc32 of a column's text, as the folds of labelled rows use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
