@@ -14,6 +14,7 @@ import pandas as pd
 
 from sparkseg.errors import TargetAboveFoundation, TargetNotReached
 from sparkseg.operators.regions import EPSILON
+from sparkseg.operators.splitting import ancestors
 from sparkseg.options import Options
 
 
@@ -215,12 +216,26 @@ SCHEMA = "image_id long, target int, actual int, base_label int, label int, roun
 
 
 def hierarchy_of(nodes: pd.DataFrame, edges: pd.DataFrame, targets: list[int], options: Options, sized: bool) -> Hierarchy:
-    """``nodes(label, n, sum_*, alpha, beta, gamma)`` with labels 1..K, ``edges(src, dst, w)``."""
+    """``nodes(label, n, sum_*, alpha, beta, gamma)`` with labels 1..K, ``edges(src, dst, w)``.
+
+    With ``parent`` regions beyond the foundation are parts of split ones: they give the counts from the
+    foundation's upwards, or as many regions as there are pixels; the foundation is merged for the others.
+    """
     nodes = nodes.sort_values("label", kind="stable")
     pairs = {(int(a) - 1, int(b) - 1): int(w) for a, b, w in zip(edges["src"], edges["dst"], edges["w"]) if a < b}
     graph = Graph(nodes["n"].to_numpy(dtype=np.int64), nodes[["sum_l", "sum_a", "sum_b"]].to_numpy(dtype=float), pairs)
-    found = Hierarchy(graph, nodes[["alpha", "beta", "gamma"]].iloc[0].to_numpy(dtype=float), targets, options, sized)
-    found.run()
+    weights = nodes[["alpha", "beta", "gamma"]].iloc[0].to_numpy(dtype=float)
+    if "parent" not in nodes:
+        found = Hierarchy(graph, weights, targets, options, sized)
+        found.run()
+        return found
+    parent = nodes["parent"].to_numpy(dtype=np.int64)
+    k = int((parent == 0).sum())
+    root = ancestors(parent, k) - 1
+    found = Hierarchy(graph.contracted(root), weights, [t for t in targets if t <= k], options, sized)
+    if found.wanted:
+        found.run()
+    found.levels = [(t, ancestors(parent, t) - 1, 0) for t in targets if t > k] + [(t, m[root], r) for t, m, r in found.levels]
     return found
 
 

@@ -24,15 +24,15 @@ def tolerance(rows: int, cols: int) -> int:
     return int(0.0025 * (rows * rows + cols * cols) ** 0.5 + 0.5)
 
 
-def masks(pairs: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+def masks(pairs: DataFrame, sizes: list[tuple[int, int]], fixed: int | None = None) -> DataFrame:
     """Adds ``gt_edge``, ``sp_edge`` and ``matched`` to ``pairs(image_id, r, c, label, region)``.
 
-    ``matched`` is the label boundary widened by the tolerance, which follows from the image's size.
+    ``matched`` is the label boundary widened by the tolerance, which follows from the image's size unless it is ``fixed``.
     """
     marked = pairs.withColumn("gt_edge", boundary("region")).withColumn("sp_edge", boundary("label")).join(extent(pairs), "image_id")
-    radius = F.floor(0.0025 * F.sqrt((F.col("rows") * F.col("rows") + F.col("cols") * F.col("cols")).cast("double")) + 0.5)
+    radius = F.lit(fixed) if fixed is not None else F.floor(0.0025 * F.sqrt((F.col("rows") * F.col("rows") + F.col("cols") * F.col("cols")).cast("double")) + 0.5)
     parts = []
-    for t in sorted({tolerance(*s) for s in sizes}):
+    for t in [fixed] if fixed is not None else sorted({tolerance(*s) for s in sizes}):
         part = marked.where(radius == t).withColumn("_on", F.col("sp_edge").cast("int"))
         parts.append(box(part, "_on", "_near", t).withColumn("matched", F.col("_near") == 1).drop("_on", "_near") if t else part.withColumn("matched", F.col("sp_edge")).drop("_on"))
     out = parts[0]

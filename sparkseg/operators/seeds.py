@@ -50,15 +50,16 @@ def radii(rows: int, cols: int) -> tuple[int, int]:
     return max(rows, cols) // 100 + 1, max(1, min(rows, cols) // 200)
 
 
-def elect(dense: DataFrame, thresholds: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+def elect(dense: DataFrame, thresholds: DataFrame, sizes: list[tuple[int, int]], fixed: tuple[int, int] | None = None) -> DataFrame:
     """Adds ``is_seed``: the large radius, or the small one where the edge reaches the threshold.
 
-    Radii follow from the image's size; images of one size go through together. Borders hold no seed.
+    Radii follow from the image's size, unless they are ``fixed``; images of one size go through together.
+    Borders hold no seed.
     """
     joined = dense.join(thresholds, "image_id")
     parts = []
-    for big, small in sorted({radii(*s) for s in sizes}):
-        of_size = (F.floor(F.greatest("rows", "cols") / 100) + 1 == big) & (F.greatest(F.lit(1), F.floor(F.least("rows", "cols") / 200)) == small)
+    for big, small in [fixed] if fixed else sorted({radii(*s) for s in sizes}):
+        of_size = F.lit(True) if fixed else (F.floor(F.greatest("rows", "cols") / 100) + 1 == big) & (F.greatest(F.lit(1), F.floor(F.least("rows", "cols") / 200)) == small)
         part = unique_maximum(joined.where(of_size), big, "_big")
         part = unique_maximum(part, small, "_small") if small != big else part.withColumn("_small", F.col("_big"))
         parts.append(part.withColumn("radius", F.lit(big)))

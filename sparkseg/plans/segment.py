@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkseg.errors import NoSeeds, SizeMismatch
 from sparkseg.functions.lineage import cut
 from sparkseg.functions.neighbours import extent
-from sparkseg.operators import assign, channels, connectivity, merging, metrics, regions, seeds
+from sparkseg.operators import assign, channels, connectivity, merging, metrics, regions, seeds, splitting
 from sparkseg.options import Options, targets_of
 from sparkseg.sources.raster import edge_maps
 
@@ -40,34 +40,46 @@ def image_sizes(pixels: DataFrame) -> list[tuple[int, int]]:
     return [(r.rows, r.cols) for r in extent(pixels).select("rows", "cols").distinct().collect()]
 
 
-def elected(pixels: DataFrame, options: Options = Options(), edge_mode: str = "sobel", edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pixels with channels, edge, density and ``is_seed``; channel weights; thresholds."""
-    sizes = image_sizes(pixels)
+def elected(pixels: DataFrame, options: Options = Options(), edge_mode: str = "sobel", edges: DataFrame | None = None, radii: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixels with channels, edge, density and ``is_seed``; channel weights; thresholds.
+
+    ``radii`` are those of the format that all images have, also one cut short; else each image's size gives them.
+    """
+    sizes = [] if radii else image_sizes(pixels)
     values = cut(channels.scaled(channels.lab_channels(edge_maps(pixels, edge_mode, edges))).join(extent(pixels), "image_id"))
     weights = cut(channels.channel_weights(values, options.max_l))
     thresholds = cut(channels.percentile_threshold(values, options.edge_percentile))
     dense = seeds.break_ties(seeds.density(values, weights), options.random_seed)
-    return seeds.elect(dense, thresholds, sizes), weights, thresholds
+    return seeds.elect(dense, thresholds, sizes, radii), weights, thresholds
+
 
+def prepare(pixels: DataFrame, options: Options = Options(), edge_mode: str = "sobel", edges: DataFrame | None = None, radii: tuple[int, int] | None = None, least: int | None = None) -> Prepared:
+    """Foundation regions: connected, numbered 1..K per image.
 
-def prepare(pixels: DataFrame, options: Options = Options(), edge_mode: str = "sobel", edges: DataFrame | None = None) -> Prepared:
-    """Foundation regions: connected, numbered 1..K per image."""
-    chosen, weights, thresholds = elected(pixels, options, edge_mode, edges)
+    With ``least`` no image stops the others: one without seeds is a region, and one of fewer than ``least``
+    regions has them split; ``labels`` then has the ``parent`` of each part.
+    """
+    chosen, weights, thresholds = elected(pixels, options, edge_mode, edges, radii)
     chosen = cut(chosen)
     table = cut(seeds.numbered(chosen))
-    bare = chosen.groupBy("image_id").agg(F.max("is_seed").alias("any")).where("not any").head(1)
+    bare = chosen.groupBy("image_id").agg(F.max("is_seed").alias("any")).where("not any").head(1) if least is None else []
     if bare:
         raise NoSeeds(f"image {bare[0].image_id} has no seeds")
     first = assign.nearest_seed(chosen, table, weights, options.spatial_weight, options.search_radius_multiplier)
     joined = chosen.join(first, ["image_id", "r", "c"])
     labels = cut(regions.compact(connectivity.repaired(cut(joined), weights)))
-    return Prepared(labels, weights, thresholds, table, options)
+    return Prepared(labels if least is None else cut(splitting.refined(labels, least)), weights, thresholds, table, options)
 
 
 def hierarchy(prepared: Prepared, targets: Iterable[int], sized: bool = False) -> DataFrame:
-    """``merging.SCHEMA``: for each requested count, the region of each foundation region."""
+    """``merging.SCHEMA``: for each requested count, the region of each foundation region.
+
+    Above the foundation, where its regions were split, a level has the parts that there were at its count.
+    """
     wanted = targets_of(targets)
     node = regions.nodes(prepared.labels).join(prepared.weights, "image_id")
+    if "parent" in prepared.labels.columns:
+        node = node.join(prepared.labels.select("image_id", "label", "parent").distinct(), ["image_id", "label"])
     edges = regions.adjacency(prepared.labels).select(F.col("image_id").alias("image"), *(F.col(x).alias(x) for x in ("src", "dst", "w")))  # names of its own
     return node.groupBy("image_id").cogroup(edges.groupBy("image")).applyInPandas(merging.kernel(wanted, prepared.options, sized), merging.SCHEMA)
 
@@ -115,17 +127,18 @@ def same_size(labels: DataFrame, truth: DataFrame) -> None:
         raise SizeMismatch(f"labels and annotation of image {bad[0][0]} differ in height or width")
 
 
-def evaluate(labels: DataFrame, truth: DataFrame) -> DataFrame:
+def evaluate(labels: DataFrame, truth: DataFrame, tolerance: int | None = None) -> DataFrame:
     """``image_id, ground_truth, br, ibr``: a row per annotation and their mean, per image.
 
-    ``truth(image_id, gt_idx, r, c, region)``; annotations are numbered from 1.
+    ``truth(image_id, gt_idx, r, c, region)``; annotations are numbered from 1. The image's size gives the
+    tolerance where none is given.
     """
-    sizes = image_sizes(labels)
+    sizes = [] if tolerance is not None else image_sizes(labels)
     rows = None
     for (idx,) in sorted(truth.select("gt_idx").distinct().collect()):
         one = truth.where(F.col("gt_idx") == idx).drop("gt_idx")
         same_size(labels, one)
-        masked = metrics.masks(labels.select("image_id", "r", "c", "label").join(one, ["image_id", "r", "c"]), sizes)
+        masked = metrics.masks(labels.select("image_id", "r", "c", "label").join(one, ["image_id", "r", "c"]), sizes, tolerance)
         row = metrics.boundary_recall(masked).join(metrics.instance_recall(masked), "image_id").withColumn("ground_truth", F.lit(str(idx)))
         rows = row if rows is None else rows.unionByName(row)
     return metrics.table(rows)
