@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseg.llm.base import crc32_of, in_arrow
+from sparkseg.llm.base import crc32_of, give_back, in_arrow
 
 BUCKETS = 1 << 16
 REPEATS = 16
@@ -83,13 +84,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int =
     if len(rows) == 0 or y.min() == y.max():
         return Model(zero, zero, 0.0, 0.0, 0.0 if len(rows) == 0 else 500.0 * (2 * int(y[0]) - 1))
     ratio = log_count_ratio(rows, y)
-    values = [ratio[f] / np.sqrt(max(1e-12, (ratio[f] ** 2).sum())) for f in rows]
+    norms = [np.sqrt(max(1e-12, (ratio[f] ** 2).sum())) for f in rows]  # values are made anew each time: the driver holds the places alone
     sign, upper = 2.0 * y - 1, cost * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     w, bias, alpha, rng = np.zeros(SIZE), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            f, x = rows[i], values[i]
+            f, x = rows[i], ratio[rows[i]] / norms[i]
             gradient = sign[i] * (w[f] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / (2.0 if len(f) else 1.0), 0.0), upper[i])
             step = (new - alpha[i]) * sign[i]
@@ -99,7 +100,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int =
                 most, alpha[i] = max(most, abs(step)), new
         if most < 1e-3:
             break
-    margins = np.array([w[f] @ x + bias for f, x in zip(rows, values)])
+    margins = np.array([w[f] @ (ratio[f] / n) + bias for f, n in zip(rows, norms)])
     slope, offset = logistic(margins, y)
     return Model(w, ratio, bias, slope, offset)
 
@@ -132,10 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     joined = docs.join(F.broadcast(sample), "doc_id").select("y", "text").transform(in_arrow, _features, "y int, features binary").toArrow()
-    rows = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int32) for x in joined.column("features")]
+    order = pc.sort_indices(joined, [("y", "ascending"), ("features", "ascending")]).to_numpy()  # the same model however the rows arrive
+    rows = [np.frombuffer(x.as_buffer(), "<u4") for x in joined.column("features")]  # no copies
     y = np.array(joined.column("y").to_pylist(), dtype=np.int64)
-    order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))  # the same model however the rows arrive
-    return fit([rows[i] for i in order], y[order], seed=seed)
+    model = fit([rows[i] for i in order], y[order], seed=seed)
+    del rows, joined
+    give_back()
+    return model
 
 
 def _score(model):

@@ -234,6 +234,19 @@ def test_predictions_are_those_of_exact_ngram_sets(spark):
     assert tie.predict("abc")[0] == "yy" and model.predict(rows[0][1] * 3000)[0] == rows[0][2]
 
 
+def test_fit_holds_no_second_copy_of_the_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    rows = [np.sort(rng.choice(quality.BUCKETS, 2000, replace=False)).astype("<u4") for _ in range(2000)]
+    y = np.arange(2000) % 2
+    tracemalloc.start()
+    quality.fit(rows, y, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(r.nbytes for r in rows)
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     """Against projected gradient steps on the same dual problem."""
     rng = np.random.default_rng(3)
