@@ -90,13 +90,19 @@ class WordTokenizer:
         known, marks = self.known, self.marks
         known[""] = b""
         words.discard("")
-        matches = [(w, _SIMPLE_WORD.fullmatch(w)) for w in words]
-        bases = {w: m[1].lower() for w, m in matches if m}
+        bases, rest = {}, []
+        for w in words:
+            base = w if w.isalpha() else w[:-1]
+            if base.isascii() and base.isalpha() and (base is w or w[-1] in marks):  # most words; the pattern is slower
+                bases[w] = base.lower()
+            elif m := _SIMPLE_WORD.fullmatch(w):
+                bases[w] = m[1].lower()
+            else:
+                rest.append(w)
         new = list(set(bases.values()).difference(known))
         known.update(zip(new, self._simple_ids(new), strict=True))
         for w, base in bases.items():
             known[w] = known[base] if len(w) == len(base) else known[base] + marks[w[-1]]
-        rest = [w for w, m in matches if not m]
         known.update(zip(rest, self._ids(self.tokenizer, rest)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -110,23 +116,14 @@ class WordTokenizer:
                 gc.enable()
 
     def _packed(self, texts: list[str | None]) -> list[bytes]:
-        found, pending, missing = [], [], set()
-        for text in texts:
-            words = self.words(text) if text else []
-            ids = list(map(self.known.get, words))
-            try:
-                found.append(b"".join(ids))
-            except TypeError:  # a word that isn't known
-                missing.update([w for w, x in zip(words, ids) if x is None])
-                pending.append((len(found), words, ids))
-                found.append(b"")
-        if missing:
-            if len(self.known) + len(missing) > CACHED_WORDS:
-                self.known.clear()
+        split = [self.words(text) if text else [] for text in texts]
+        seen = set().union(*split)
+        if missing := seen.difference(self.known):
+            if len(self.known) + len(missing) > CACHED_WORDS:  # the words at hand stay
+                self.known = {w: self.known[w] for w in seen.difference(missing)}
             self._learn(missing)
-            for i, words, ids in pending:
-                found[i] = b"".join([self.known[w] if x is None else x for w, x in zip(words, ids)])
-        return found
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, words)) for words in split]
 
 
 _tokenizers: dict[tuple[str, str], WordTokenizer] = {}
