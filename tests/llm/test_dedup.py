@@ -243,6 +243,23 @@ def test_passages_whose_shingles_all_stand_in_an_earlier_document(spark):
     assert {(r.doc_id, r.source_doc_id, r.n_words) for r in got} == {(101, 100, 60)}
 
 
+def test_near_passages_whose_group_begins_in_another_context(spark):
+    rng = random.Random(23)
+    vocabulary = [f"n{i}" for i in range(5000)]
+    mixed = lambda k: rng.choices(vocabulary, k=k)
+    rows, want = [], set()
+    for i in range(6):
+        base = mixed(60)
+        near = list(base)
+        near[30] = f"changed{i}"  # no run of 50 words is equal, 51 of 61 shingles are
+        # an earlier document has every part of the passage, each in another context
+        rows += [(i, " ".join(w for k in range(0, 60, 10) for w in [*base[max(k - 4, 0) : k + 14], *mixed(50)]))]
+        rows += [(100 + i, " ".join(mixed(70) + base + mixed(70))), (200 + i, " ".join(mixed(40) + near + mixed(90)))]
+        want.add((200 + i, 100 + i))
+    got = {(r.doc_id, r.source_doc_id) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert want <= got
+
+
 def test_repeated_rows_of_one_id_keep_each_text(spark):
     rows = [(13, "a"), (13, "a"), (13, "b"), (13, "b"), (None, "c"), (None, "c"), (None, "d"), (None, "d"), (1, "e"), (2, "a")]
     got = exact_dedup.deduplicated(frame(spark, rows))
