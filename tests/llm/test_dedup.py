@@ -2,9 +2,11 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseg.llm import components, decontam, exact_dedup, near_dedup, substring_dedup
 from sparkseg.llm.base import Scratch, window_hashes, word_hashes, words_of
@@ -260,6 +262,29 @@ def test_near_passages_whose_group_begins_in_another_context(spark):
     assert want <= got
 
 
+def test_sequences_are_shuffled_once_for_both_sides(spark):
+    scratch = Scratch(spark, "test")
+    pairs = scratch.table(spark.range(100).selectExpr("id", "id + 1 as fid", "1 as lo", "2 as hi", "3 as flo", "4 as fhi"), "pairs")
+    seqs = scratch.table(spark.range(101).selectExpr("id", "cast(concat_ws('', transform(sequence(0, 9), i -> lpad(cast(10 * id + i as string), 4, '0'))) as binary) as seq"), "sequences")
+    got = substring_dedup.with_sequences(pairs.hint("merge"), seqs.hint("merge"))
+    for r in got.collect():
+        assert (r.fid, bytes(r.x).decode(), bytes(r.y).decode()) == (r.id + 1, f"{10 * r.id + 1:04d}{10 * r.id + 2:04d}", f"{10 * r.fid + 3:04d}{10 * r.fid + 4:04d}")
+    assert got.count() == 100
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffled()
+    Scratch(spark, "test").table(spark.range(1000).groupBy(F.expr("id % 7 as k")).count(), "counts")
+    for _ in range(50):  # they go in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+
+
 def test_repeated_rows_of_one_id_keep_each_text(spark):
     rows = [(13, "a"), (13, "a"), (13, "b"), (13, "b"), (None, "c"), (None, "c"), (None, "d"), (None, "d"), (1, "e"), (2, "a")]
     got = exact_dedup.deduplicated(frame(spark, rows))
