@@ -273,6 +273,15 @@ def test_sequences_are_shuffled_once_for_both_sides(spark):
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_similar_runs_tell_shingles_of_equal_lower_bits_apart():
+    x = np.arange(60, dtype=np.uint32)
+    assert substring_dedup.similar_runs(x, x + np.uint32(1 << 16), 46, 75) == []
+    assert substring_dedup.similar_runs(x, x, 46, 75) == [(0, 60, 0, 60, 1.0)]
+    y = np.concatenate([x[:30] + np.uint32(1 << 16), x, x[:9]])
+    assert substring_dedup.similar_runs(x, y, 46, 75) == [(0, 60, 30, 90, 1.0)]
+    assert substring_dedup.similar_runs(x[:0], x, 46, 75) == substring_dedup.similar_runs(x, x[:0], 46, 75) == []
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
